@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op10_containment_near_dup": "containment",
     "op3_best_fit_packing": "bestfit",
     "op4_ppm_langid": "ppm_langid",
     "op8_exact_dedup": "golomb_dedup",
