@@ -5,6 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op2_vector_sharding": "sharding",
+    "op9_imatch_fingerprints": "imatch",
     "op10_containment_near_dup": "containment",
     "op3_best_fit_packing": "bestfit",
     "op4_ppm_langid": "ppm_langid",
