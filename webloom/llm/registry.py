@@ -5,6 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op6_byte_bpe": "bpe",
+    "op7_token_counts": "token_scan",
     "op2_vector_sharding": "sharding",
     "op9_imatch_fingerprints": "imatch",
     "op10_containment_near_dup": "containment",
