@@ -2,11 +2,11 @@
 
 A text is split into pre-tokens by the vocabulary's pattern; each pre-token's bytes are merged, lowest rank first and
 leftmost among equals, until no pair is in the vocabulary. Merging keeps the bytes in a linked list and the pairs in a
-queue by rank: a bucket of list positions for each rank, and a three-level bitmap over the ranks in which
+queue by rank: a bucket of list positions for each rank, and a bitmap of two levels over the ranks in which
 find-first-set picks the next non-empty bucket. A pair that has changed since it was filed is stale and skipped. So a
 pre-token of n bytes takes O(n log n) steps, however long it is.
 
-Results of pre-tokens up to CACHE_CHARS are kept, up to CACHE_ENTRIES of them, as most pre-tokens recur.
+Results of pre-tokens up to CACHE_CHARS are kept, in two generations of CACHE_ENTRIES, as most pre-tokens recur.
 
 Nulls: a null text has null tokens, count and round trip; an empty text has no tokens. Tokens decode to exactly the
 text's UTF-8 bytes. Text that looks like a special token is ordinary text.
@@ -18,7 +18,6 @@ import base64
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -32,50 +31,14 @@ from ._cols import pick
 from ._text import buffers
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
 END_OF_DOCUMENT = 50256
 CACHE_CHARS = 48
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 250_000
+WORD = 256  # ranks in a word of the bitmap's lower level
 BATCH_CHARS = 1 << 20
 
 
-class RankQueue:
-    """Positions by rank; the least position of the least rank comes first."""
-
-    def __init__(self, ranks: int):
-        self.buckets: dict[int, list[int]] = {}
-        self.low = [0] * ((ranks >> 6) + 1)
-        self.mid = [0] * ((ranks >> 12) + 1)
-        self.top = 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        self.low[rank >> 6] |= 1 << (rank & 63)
-        self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-        self.top |= 1 << (rank >> 12)
-
-    def pop(self) -> tuple[int, int]:
-        m = (self.top & -self.top).bit_length() - 1
-        w = self.mid[m]
-        w = (m << 6) | ((w & -w).bit_length() - 1)
-        b = self.low[w]
-        rank = (w << 6) | ((b & -b).bit_length() - 1)
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[w] = b = b & (b - 1)
-            if not b:
-                self.mid[m] &= self.mid[m] - 1
-                if not self.mid[m]:
-                    self.top &= self.top - 1
-        return rank, position
-
-
 class Codec(dict):
     """Maps pre-tokens to their token ids."""
 
@@ -83,57 +46,94 @@ class Codec(dict):
         import regex
 
         with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.tokens = {i: b for b, i in self.ranks.items()}
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        self.tokens = {i: b for b, i in ranks.items()}
+        self.ranks = ranks
+        self.bytes = [ranks[bytes([b])] for b in range(256)]
+        #: rank of the merged token by (left id, right id)
+        self.pairs = {ranks[t[:i]] << 20 | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
         self.split = regex.compile(pattern).findall
-        self.queue = RankQueue(max(self.tokens, default=0) + 1)
+        self.low = [0] * (max(self.tokens) // WORD + 1)
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.merge(word.encode())
+        ids = self.older.get(word)
+        if ids is None:
+            raw = word.encode()
+            whole = self.ranks.get(raw)
+            ids = self.merge(raw) if whole is None else (whole,)
         if len(word) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
     def merge(self, raw: bytes) -> tuple[int, ...]:
-        whole = self.ranks.get(raw)
-        if whole is not None:
-            return (whole,)
-        n, ranks, queue = len(raw), self.ranks, self.queue
-        parts = [raw[i : i + 1] for i in range(n)]
+        """Token ids of a pre-token, through the rank queue."""
+        n, rank_of, low, top = len(raw), self.pairs.get, self.low, 0
+        ids = list(map(self.bytes.__getitem__, raw))
         after = list(range(1, n + 1))
         before = list(range(-1, n))
-        filed = [-1] * (n + 1)  # the rank a position's pair is filed under now
-        for i in range(n - 1):
-            r = ranks.get(raw[i : i + 2])
+        filed = [rank_of(a << 20 | b) for a, b in zip(ids, ids[1:])]  # the rank that a position's pair is filed under
+        filed.append(None)
+        buckets: dict[int, list[int]] = {}
+        for i, r in enumerate(filed):
             if r is not None:
-                filed[i] = r
-                queue.push(r, i)
-        while queue.top:
-            rank, i = queue.pop()
-            if filed[i] != rank:
-                continue
-            j = after[i]
-            parts[i] += parts[j]
-            filed[j] = -1
-            k = after[i] = after[j]
-            before[k] = i
-            filed[i] = -1
-            if k < n:
-                r = ranks.get(parts[i] + parts[k])
-                if r is not None:
-                    filed[i] = r
-                    queue.push(r, i)
-            h = before[i]
-            if h >= 0:
-                r = ranks.get(parts[h] + parts[i])
-                filed[h] = -1 if r is None else r
-                if r is not None:
-                    queue.push(r, h)
+                if r in buckets:
+                    buckets[r].append(i)
+                else:
+                    buckets[r] = [i]
+                    h = r // WORD
+                    low[h] |= 1 << r % WORD
+                    top |= 1 << h
+        while top:
+            h = (top & -top).bit_length() - 1
+            word = low[h]
+            bit = word & -word
+            rank = h * WORD + bit.bit_length() - 1
+            low[h] = word = word ^ bit
+            if not word:
+                top &= top - 1
+            bucket = buckets.pop(rank)
+            bucket.sort()
+            for done, i in enumerate(bucket):
+                if filed[i] != rank:
+                    continue
+                ids[i] = rank
+                j = after[i]
+                filed[j] = None
+                k = after[i] = after[j]
+                near = [i]
+                if k < n:
+                    before[k] = i
+                    filed[i] = rank_of(rank << 20 | ids[k])
+                else:
+                    filed[i] = None
+                h = before[i]
+                if h >= 0:
+                    filed[h] = rank_of(ids[h] << 20 | rank)
+                    near.append(h)
+                lower = False
+                for p in near:
+                    r = filed[p]
+                    if r is not None:
+                        if r in buckets:
+                            buckets[r].append(p)
+                        else:
+                            buckets[r] = [p]
+                            q = r // WORD
+                            low[q] |= 1 << r % WORD
+                            top |= 1 << q
+                        lower |= r < rank
+                if lower and done + 1 < len(bucket):  # a lower rank came up: the rest of this bucket waits
+                    buckets[rank] = bucket[done + 1 :]
+                    low[rank // WORD] |= 1 << rank % WORD
+                    top |= 1 << rank // WORD
+                    break
         out, i = [], 0
         while i < n:
-            out.append(ranks[parts[i]])
+            out.append(ids[i])
             i = after[i]
         return tuple(out)
 
