@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op5_license_scan": "license_scan",
     "op1_html_density": "html_density",
     "op6_byte_bpe": "bpe",
     "op7_token_counts": "token_scan",
