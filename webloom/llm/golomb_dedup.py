@@ -7,8 +7,9 @@
 3. Each partition reads the answer to it from the shared folder; rows with a set bit are suspects. Only suspects are
    shuffled, and equal bytes, not equal fingerprints, decide.
 
-A partition whose fingerprints don't match what it sent before (its input was recomputed in another order after a
-loss) treats the unknown ones as suspects. So a false suspect costs a comparison and never changes a result.
+A fingerprint that a partition hasn't sent makes its row a suspect. A false suspect costs a comparison and never
+changes a result. Input that is more than a scan of files is written to the shared folder first, so that both passes
+find the same rows in the same partitions.
 
 Nulls: a null text is equal to nothing and its row is kept. Empty texts are equal to each other. Of equal texts the row
 with the least doc_id stays, nulls last; of rows equal in text and doc_id one stays. An empty table gives an empty one.
@@ -21,13 +22,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.session import new_table_path
 from webloom.tables import table
 
+from ._aligned import by_part, pinned
 from ._cols import pick, restore, with_picked
 
 FP_BITS = 48
@@ -82,13 +83,15 @@ def fingerprint(text: Column) -> Column:
 
 def _send(owners: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [b.column(0).to_numpy(zero_copy_only=False).astype(np.uint64) for b in batches]
+        seen, part = [], 0
+        for b in batches:
+            seen.append(b.column("fp").to_numpy(zero_copy_only=False).astype(np.uint64))
+            part = b.column("part")[0].as_py() if b.num_rows else part
         fps = np.sort(np.concatenate(seen)) if seen else np.zeros(0, np.uint64)
         if not len(fps):
             return
         step = -(-(1 << FP_BITS) // owners)
         bounds = np.searchsorted(fps, np.arange(owners + 1, dtype=np.uint64) * np.uint64(step))
-        part = TaskContext.get().partitionId()
         rows = [(part, o, rice_encode(fps[a:b])) for o, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
         p, o, blob = zip(*rows)
         yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(o, pa.int32()), pa.array(blob, pa.binary())], ["part", "owner", "blob"])
@@ -138,8 +141,8 @@ def _has(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
 
 
-def suspicion(spark: SparkSession, fps: DataFrame) -> "Column":
-    """Runs the exchange over the one fingerprint column; a function of that column then says whether a row is a suspect."""
+def suspicion(spark: SparkSession, fps: DataFrame):
+    """Runs the exchange over (fp, part); a function of these columns then says whether a row is a suspect."""
     owners = max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * OWNERS_PER_SHUFFLE_PARTITION
     base = new_table_path(spark, "answers")
     (
@@ -152,10 +155,9 @@ def suspicion(spark: SparkSession, fps: DataFrame) -> "Column":
     )
 
     @F.pandas_udf("boolean")
-    def is_suspect(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known, repeated = _read_answer(base, TaskContext.get().partitionId())
-        for s in batches:
-            x = s.to_numpy(np.int64, na_value=0).astype(np.uint64)
+    def is_suspect(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, (known, repeated) in by_part(batches, lambda part: _read_answer(base, part)):
+            x = x.astype(np.uint64)
             yield pd.Series(_has(repeated, x) | ~_has(known, x))
 
     return is_suspect.asNondeterministic()
@@ -163,9 +165,9 @@ def suspicion(spark: SparkSession, fps: DataFrame) -> "Column":
 
 def duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, kept_doc_id) of each row that isn't kept."""
-    spark = docs.sparkSession
-    rows = pick(docs, doc_id="bigint", text="string").filter("text IS NOT NULL").withColumn("fp", fingerprint(F.col("text")))
-    suspects = rows.filter(suspicion(spark, rows.select("fp"))("fp"))
+    spark, docs = docs.sparkSession, pinned(docs)
+    rows = pick(docs, doc_id="bigint", text="string").filter("text IS NOT NULL").withColumns({"fp": fingerprint(F.col("text")), "part": F.spark_partition_id()})
+    suspects = rows.filter(suspicion(spark, rows.select("fp", "part"))("fp", "part"))
     by_id = suspects.groupBy("fp", "text", "doc_id").agg(F.count("*").alias("n"))
     kept = by_id.groupBy("fp", "text").agg(F.min("doc_id").alias("kept_doc_id"), F.sum("n").alias("rows")).filter("rows > 1")
     lost = F.col("n") - F.when(F.col("doc_id").eqNullSafe(F.col("kept_doc_id")), 1).otherwise(0)
@@ -174,11 +176,11 @@ def duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs with one row of each text: the columns as they came."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, pinned(docs)
     rows, positions = with_picked(docs, doc_id="bigint", text="string")
-    rows = rows.withColumn("wl_fp", fingerprint(F.col("wl_text")))
-    suspect = suspicion(spark, rows.filter("wl_text IS NOT NULL").select("wl_fp"))
-    marked = rows.withColumn("wl_suspect", F.col("wl_text").isNotNull() & suspect("wl_fp"))
+    rows = rows.withColumns({"wl_fp": fingerprint(F.col("wl_text")), "wl_part": F.spark_partition_id()})
+    suspect = suspicion(spark, rows.filter("wl_text IS NOT NULL").select(F.col("wl_fp").alias("fp"), F.col("wl_part").alias("part")))
+    marked = rows.withColumn("wl_suspect", F.col("wl_text").isNotNull() & suspect("wl_fp", "wl_part"))
     alone = marked.filter("NOT wl_suspect").select(*positions)
     whole = F.struct(*positions)
     one = marked.filter("wl_suspect").groupBy("wl_fp", "wl_text").agg(F.min_by(whole, F.struct(F.col("wl_doc_id").isNull(), "wl_doc_id")).alias("wl_row")).select("wl_row.*")
