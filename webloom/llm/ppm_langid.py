@@ -11,7 +11,7 @@ languages become one dictionary of seen grams with a cost for each language, and
 costs; unseen grams add the escape cost and go on one order lower. Scoring is a few array lookups for each byte.
 
 A text is rejected (accepted = false) if it is null or has no letter, or if its best code length is over MAX_BITS a
-byte for at least MIN_BYTES bytes: no language then explains it. Empty texts and nulls have a null language. Without
+byte, the size of the bytes themselves, for at least MIN_BYTES bytes: no language then explains it. Empty texts and nulls have a null language. Without
 any labelled row there is nothing to tell languages by: all have a null language, and texts with letters are accepted.
 Labels other than null and '' count as languages as they are. Repeated rows get equal results.
 
@@ -37,7 +37,7 @@ from ._text import buffers, chunks
 ORDER = 4
 SAMPLE_ROWS = 384
 SAMPLE_BYTES = 4_000_000
-MAX_BITS = 6.5
+MAX_BITS = 8.0
 MIN_BYTES = 24
 PAD = 10  # a text begins as if after line ends
 
