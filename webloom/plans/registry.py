@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from webloom.plans.catalog_plans import CATALOG
 from webloom.plans.search_plans import FLAGSHIP, SEARCH
 
-_ALL = {**SEARCH}
+_ALL = {**CATALOG, **SEARCH}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
