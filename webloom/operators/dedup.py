@@ -64,7 +64,7 @@ def greedy_keep(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return nodes.select("id").join(gone, "id", "left").select("id", F.col("gone").isNull().alias("keep"))
 
 
-def exact_first(docs: DataFrame, digest: str = "sha256") -> Column:
+def exact_first(digest: str = "sha256") -> Column:
     """Whether a row is the first of its digest, by id."""
     return F.row_number().over(Window.partitionBy(digest).orderBy("id")) == 1
 
@@ -73,7 +73,7 @@ def gate_duplicates(docs: DataFrame) -> DataFrame:
     """(id, verdict) of documents (id, sha256, simhash): dup-exact, dup-near or index.
 
     A digest counts as seen even if its first document turns out a near-duplicate, so later copies are dup-exact."""
-    marked = materialize(docs.select("id", "simhash", exact_first(docs).alias("first")), "marked")
+    marked = materialize(docs.select("id", "simhash", exact_first().alias("first")), "marked")
     firsts = marked.filter("first")
     keep = greedy_keep(firsts, near_pairs(firsts))
     verdict = F.when(~F.col("first"), "dup-exact").when(~F.col("keep"), "dup-near").otherwise("index")

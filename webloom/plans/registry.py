@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from webloom.plans.catalog_plans import CATALOG
+from webloom.plans.dedup_plans import DEDUP
+from webloom.plans.graph_plans import GRAPH
+from webloom.plans.scalar_plans import SCALAR
 from webloom.plans.search_plans import FLAGSHIP, SEARCH
 
-_ALL = {**CATALOG, **SEARCH}
+_ALL = {**SEARCH, **SCALAR, **CATALOG, **DEDUP, **GRAPH}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
