@@ -11,8 +11,9 @@ from webloom.plans.dedup_plans import DEDUP
 from webloom.plans.graph_plans import GRAPH
 from webloom.plans.scalar_plans import SCALAR
 from webloom.plans.search_plans import FLAGSHIP, SEARCH
+from webloom.plans.state_plans import STATE
 
-_ALL = {**SEARCH, **SCALAR, **CATALOG, **DEDUP, **GRAPH}
+_ALL = {**SEARCH, **SCALAR, **CATALOG, **DEDUP, **GRAPH, **STATE}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
