@@ -41,17 +41,14 @@ def _write(base: str, vocabulary: str):
 
         store, folder = fs.FileSystem.from_uri(base)
         store.create_dir(folder, recursive=True)
-        part, n = TaskContext.get().partitionId(), 0
+        part, n, end = TaskContext.get().partitionId(), 0, bpe.END_OF_DOCUMENT.to_bytes(4, "little")
         name = f"{part:06d}-{uuid.uuid4().hex[:12]}.bin"
         with store.open_output_stream(f"{folder}/{name}") as out:
             for batch in batches:
                 for _, _, ids in bpe.encode_batch(batch.column("text"), vocabulary):
-                    for x in ids:
-                        if x is not None:
-                            x.append(bpe.END_OF_DOCUMENT)
-                            data = np.frombuffer(x, np.int32).astype("<u2")
-                            out.write(data.tobytes())
-                            n += len(data)
+                    data = np.frombuffer(b"".join(x + end for x in ids if x is not None), np.int32)
+                    out.write(data.astype("<u2").tobytes())
+                    n += len(data)
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([f"{base}/{name}"]), pa.array([n], pa.int64())], ["file", "path", "n_tokens"])
 
     return run
