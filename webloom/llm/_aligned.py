@@ -31,7 +31,8 @@ def pinned(df: DataFrame) -> DataFrame:
     plan = df._jdf.queryExecution().executedPlan().toString()
     if all(_PLAIN.match(line) for line in plan.splitlines() if line.strip()):
         return df
-    return materialize(df, "input")
+    names = df.columns
+    return materialize(df.toDF(*[f"wl_{i}" for i in range(len(names))]), "input").toDF(*names)  # names may clash
 
 
 def by_part(batches: Iterator[pd.Series], read) -> Iterator[tuple[np.ndarray, object]]:
