@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from webloom.session import materialize
 from webloom.tables import table
 
+from ._aligned import CLEAR, marker, pinned
 from ._cols import pick, restore, with_picked
 from ._text import U64, chunks, mix, shingle_sets
 
@@ -96,9 +97,10 @@ def _keys(minima: np.ndarray, c: int) -> list[int]:
     return key.view(np.int64).tolist()
 
 
-SKETCHED = "doc_id bigint, t_hi bigint, t_lo bigint, set_hi bigint, set_lo bigint, n int, sk_hi bigint, sk_lo bigint, far int, bands array<bigint>"
+SKETCHED = "part int, doc_id bigint, t_hi bigint, t_lo bigint, set_hi bigint, set_lo bigint, n int, sk_hi bigint, sk_lo bigint, far int, bands array<bigint>"
 _ARROW = pa.schema(
-    [(n, pa.int64()) for n in ("doc_id", "t_hi", "t_lo", "set_hi", "set_lo")]
+    [("part", pa.int32())]
+    + [(n, pa.int64()) for n in ("doc_id", "t_hi", "t_lo", "set_hi", "set_lo")]
     + [("n", pa.int32()), ("sk_hi", pa.int64()), ("sk_lo", pa.int64()), ("far", pa.int32()), ("bands", pa.list_(pa.int64()))]
 )
 
@@ -131,7 +133,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 far.append(sketch_distance(c + 1))
             rows = batch.slice(a, b - a).take(pa.array(keep))
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), rows.column("t_hi"), rows.column("t_lo"), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(sizes.astype(np.int32))]
+                [rows.column("part"), rows.column("doc_id"), rows.column("t_hi"), rows.column("t_lo"), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(sizes.astype(np.int32))]
                 + [pa.array(np.ascontiguousarray(bits[:, 0])), pa.array(np.ascontiguousarray(bits[:, 1])), pa.array(far, pa.int32()), pa.array(bands, pa.list_(pa.int64()))],
                 schema=_ARROW,
             )
@@ -178,14 +180,21 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     return led.filter(ratio & (differ <= F.greatest("far", "lead.far"))).select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _flags(sketched: DataFrame, texts: DataFrame) -> DataFrame:
+    """(part, h, flag) of every row: flagged are those with one of the texts (t_hi, t_lo)."""
+    wanted = texts.select("t_hi", "t_lo", F.lit(True).alias("flag")).distinct()
+    return sketched.select("part", "t_hi", "t_lo").join(wanted, ["t_hi", "t_lo"], "left").select("part", F.col("t_hi").alias("h"), "flag")
+
+
+def _verified(docs: DataFrame, sketched: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose containment holds."""
     many = F.count("*").over(Window.partitionBy("a"))
     placed = pairs.withColumn("chunk", F.pmod(F.xxhash64("b"), F.lit(1) + F.floor(many / CHUNK_ROWS)).cast("int"))
     wanted = placed.unionByName(placed.select("a", F.col("a").alias("b"), "chunk").distinct())
     asked = wanted.join(nodes.select(F.col("node").alias("b"), "t_hi", "t_lo"), "b")
-    texts = docs.select("t_hi", "t_lo", "text").join(asked.select("t_hi", "t_lo").distinct(), ["t_hi", "t_lo"], "left_semi")
-    texts = texts.groupBy("t_hi", "t_lo").agg(F.min("text").alias("text"))
+    # only the texts of candidates leave their partitions, one of each
+    mine = docs.filter(marker(_flags(sketched, asked))("t_hi", "part") != CLEAR)
+    texts = mine.groupBy("t_hi", "t_lo").agg(F.min("text").alias("text"))
     rows = asked.join(texts, ["t_hi", "t_lo"]).select("a", "chunk", "b", "text")
     ordered = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", (F.col("a") != F.col("b")))
     return ordered.select("a", "b", "text").mapInArrow(_verify, "a bigint, b bigint")
@@ -208,39 +217,42 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def grouped(docs: DataFrame) -> DataFrame:
-    """(doc_id, t_hi, t_lo, root, kept, n_rows) of every row in a group of two or more."""
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, t_hi, t_lo, root, kept, n_rows) of every row in a group of two or more; and the sketches of all rows."""
     rows = pick(docs, doc_id="bigint", text="string").filter("text IS NOT NULL")
-    rows = rows.withColumns({"t_hi": F.xxhash64("text"), "t_lo": F.xxhash64(F.lit(7), "text")})
+    rows = rows.withColumns({"t_hi": F.xxhash64("text"), "t_lo": F.xxhash64(F.lit(7), "text"), "part": F.spark_partition_id()})
     sketched = materialize(rows.mapInArrow(_sketch, SKETCHED), "sketches")
     rest = F.struct("t_hi", "t_lo", "n", "sk_hi", "sk_lo", "far", "bands")
     nodes = sketched.groupBy("set_hi", "set_lo").agg(F.min_by(rest, F.struct("t_hi", "t_lo")).alias("r")).select("set_hi", "set_lo", "r.*")
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     pairs = materialize(_candidates(nodes), "pairs")
-    roots = components(_verified(rows, nodes, pairs))
+    roots = components(_verified(rows.select("t_hi", "t_lo", "part", "text"), sketched, nodes, pairs))
     of_set = nodes.select("set_hi", "set_lo", "node").join(roots, "node", "left").select("set_hi", "set_lo", F.coalesce("root", "node").alias("root"))
     member = sketched.select("doc_id", "t_hi", "t_lo", "set_hi", "set_lo").join(of_set, ["set_hi", "set_lo"]).drop("set_hi", "set_lo")
     group = member.groupBy("root").agg(F.count("*").alias("n_rows"), F.min("doc_id").alias("kept")).filter("n_rows > 1")
-    return materialize(member.join(group, "root"), "groups")
+    return materialize(member.join(group, "root"), "groups"), sketched
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, kept_doc_id) of each row that isn't kept."""
-    by_id = grouped(docs).groupBy("root", "doc_id", "kept").agg(F.count("*").alias("n"))
+    by_id = grouped(pinned(docs))[0].groupBy("root", "doc_id", "kept").agg(F.count("*").alias("n"))
     lost = F.col("n") - F.when(F.col("doc_id").eqNullSafe(F.col("kept")), 1).otherwise(0)
     return by_id.select("doc_id", F.col("kept").alias("kept_doc_id"), F.explode(F.array_repeat(F.lit(1), lost.cast("int"))).alias("one")).drop("one")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each group: the columns as they came."""
-    group = grouped(docs).select(F.col("t_hi").alias("wl_hi"), F.col("t_lo").alias("wl_lo"), F.col("root").alias("wl_root")).distinct()
+    docs = pinned(docs)
+    group, sketched = grouped(docs)
     rows, positions = with_picked(docs, doc_id="bigint", text="string")
-    rows = rows.withColumns({"wl_hi": F.xxhash64("wl_text"), "wl_lo": F.xxhash64(F.lit(7), "wl_text")})
-    rows = rows.join(group, ["wl_hi", "wl_lo"], "left").withColumn("wl_root", F.when(F.col("wl_text").isNotNull(), F.col("wl_root")))
-    alone = rows.filter("wl_root IS NULL").select(*positions)
+    rows = rows.withColumns({"wl_hi": F.xxhash64("wl_text"), "wl_lo": F.xxhash64(F.lit(7), "wl_text"), "wl_part": F.spark_partition_id()})
+    marked = rows.withColumn("wl_mark", F.when(F.col("wl_text").isNull(), CLEAR).otherwise(marker(_flags(sketched, group))("wl_hi", "wl_part")))
+    alone = marked.filter(F.col("wl_mark") == CLEAR).select(*positions)
+    of_text = group.select(F.col("t_hi").alias("wl_hi"), F.col("t_lo").alias("wl_lo"), F.col("root").alias("wl_root")).distinct()
+    met = marked.filter(F.col("wl_mark") != CLEAR).join(of_text, ["wl_hi", "wl_lo"], "left")
     first = F.struct(F.col("wl_doc_id").isNull(), "wl_doc_id", "wl_text")
-    one = rows.filter("wl_root IS NOT NULL").groupBy("wl_root").agg(F.min_by(F.struct(*positions), first).alias("wl_row")).select("wl_row.*")
-    return restore(alone.unionByName(one), positions, docs.columns)
+    one = met.filter("wl_root IS NOT NULL").groupBy("wl_root").agg(F.min_by(F.struct(*positions), first).alias("wl_row")).select("wl_row.*")
+    return restore(alone.unionByName(met.filter("wl_root IS NULL").select(*positions)).unionByName(one), positions, docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
