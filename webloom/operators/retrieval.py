@@ -51,7 +51,7 @@ def parse(text: str) -> Query:
         else:
             rest.append(word)
     for prefix, phrase, word in re.findall(r'(?:(title|body):)?(?:"([^"]*)"|([^\s"]+))', " ".join(rest)):
-        words = [w for w in re.split(r"[^\w]+|_", (phrase or word).lower()) if w]
+        words = [w for w in re.split(r"[\W_]+", (phrase or word).lower()) if w]
         if words:
             out.clauses.append(Clause(words, (prefix,) if prefix else ("title", "body")))
     return out
@@ -65,9 +65,9 @@ def _frequency(toks: Column, words: list[str]) -> Column:
     """How often the words follow one another in an array of tokens."""
     if len(words) == 1:
         return F.size(F.filter(toks, lambda t: t == words[0]))
-    starts = F.sequence(F.lit(0), F.size(toks) - len(words))
-    hits = F.filter(starts, lambda i: reduce(lambda a, b: a & b, [F.get(toks, i + k) == w for k, w in enumerate(words)]))
-    return F.when(F.size(toks) >= len(words), F.size(hits)).otherwise(0)
+    # one look-ahead for each place, so that overlapping occurrences count; a lambda would read the tokens at each place
+    joined = F.concat(F.lit(" "), F.array_join(toks, " "), F.lit(" "))
+    return F.regexp_count(joined, F.lit(f"(?= {' '.join(words)} )"))
 
 
 def _matched(docs: DataFrame, query: Query, stemming: bool) -> tuple[DataFrame, list[tuple[int, str, float]]]:
