@@ -84,11 +84,18 @@ def words(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(edge)
     begins = at[:-1][inside[at[:-1]]]
     ends = at[1:][inside[at[:-1]]]
-    up, down = _pow(n + 1)
-    total = np.empty(n + 1, U64)
-    total[0] = 0
-    np.cumsum((data.astype(U64) + U64(1)) * up[:n], out=total[1:])
-    h = mix((total[ends] - total[begins]) * down[begins] + (ends - begins).astype(U64))
+    h, i = np.empty(len(begins), U64), 0
+    while i < len(begins):  # whole words of about CHUNK_BYTES at a time, as a text may be long
+        j = max(i + 1, int(np.searchsorted(ends, begins[i] + 2 * CHUNK_BYTES, "right")))
+        first = begins[i]
+        b, e = begins[i:j] - first, ends[i:j] - first
+        size = int(e[-1])
+        up, down = _pow(size + 1)
+        total = np.empty(size + 1, U64)
+        total[0] = 0
+        np.cumsum((data[first : first + size].astype(U64) + U64(1)) * up[:size], out=total[1:])
+        h[i:j] = mix((total[e] - total[b]) * down[b] + (e - b).astype(U64))
+        i = j
     return h, np.searchsorted(begins, off, "left")
 
 

@@ -16,7 +16,7 @@ any labelled row there is nothing to tell languages by: all have a null language
 Labels other than null and '' count as languages as they are. Repeated rows get equal results.
 
 The sample is the rows with the least hash of a language, up to SAMPLE_ROWS rows and SAMPLE_BYTES bytes (one row at
-least); it bounds the training, not the scoring.
+least), of the LANGUAGES commonest labels; it bounds the training, not the scoring.
 """
 
 from __future__ import annotations
@@ -36,9 +36,11 @@ from ._text import buffers, chunks
 
 ORDER = 4
 SAMPLE_ROWS = 384
-SAMPLE_BYTES = 4_000_000
+SAMPLE_BYTES = 2_000_000
+LANGUAGES = 64
 MAX_BITS = 8.0
 MIN_BYTES = 24
+STRETCH = 1 << 19  # bytes of a long text scored at a time
 PAD = 10  # a text begins as if after line ends
 
 RESULT = "lang string, bits_per_byte double, margin double, accepted boolean"
@@ -139,6 +141,11 @@ class Model:
             full = off[1:] > off[:-1]
             if not full.any():
                 continue
+            if b - a == 1:  # perhaps a long text: by stretches, each after the bytes before it
+                for at in range(0, len(data), STRETCH):
+                    before = min(at, ORDER)
+                    out[a] += self.byte_costs(data[at - before : at + STRETCH], np.zeros(1, np.int64))[before:].sum(0, dtype=np.float64)
+                continue
             cost = self.byte_costs(data, off[:-1][full])
             out[a:b][full] = np.add.reduceat(cost, off[:-1][full], axis=0, dtype=np.float64)
         return out
@@ -184,7 +191,8 @@ def train(texts: dict[str, list[bytes]]) -> Model | None:
 
 def sample(docs: DataFrame) -> dict[str, list[bytes]]:
     rows = pick(docs, doc_id="bigint", text="string", lang="string").filter("text <> '' AND lang <> ''")
-    rows = rows.withColumn("h", F.xxhash64("doc_id", "text"))
+    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
+    rows = rows.join(F.broadcast(common), "lang", "left_semi").withColumn("h", F.xxhash64("doc_id", "text"))
     w = Window.partitionBy("lang").orderBy("h")
     least = rows.select("lang", "h", F.octet_length("text").alias("size")).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= SAMPLE_ROWS)
     least = least.withColumn("sum", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter(f"n = 1 OR sum <= {SAMPLE_BYTES}")
