@@ -118,3 +118,30 @@ def test_components_of_a_chain(spark):
     got = dict(C.components(edges).collect())
     assert {got[i] for i in range(41)} == {0} and got[150] == got[200] == got[100] == 100
     assert C.components(edges.limit(0)).count() == 0
+
+
+def hot(n: int = 300) -> list[tuple[int, str]]:
+    """Texts of mixed lengths that share a passage: many are near, many aren't."""
+    import random
+
+    r = random.Random(7)
+    shared = " ".join(f"hot{i}" for i in range(60))
+    return [(i, shared + "".join(f" own{i}x{j}" for j in range(r.randint(15, 69)))) for i in range(n)]
+
+
+def test_all_pairs_of_a_bucket_are_compared(spark):
+    nodes = spark.range(30).selectExpr("id AS node", "100 AS n", "0L AS sk_hi", "IF(id = 0, -1L, 0L) AS sk_lo", "5 AS far", "array(1L) AS bands")
+    filed = C._filed(nodes)
+    none = spark.createDataFrame([], "node bigint, root bigint")
+    got = [tuple(r) for r in C._rest(filed, none, 7).collect()]
+    assert sorted(got) == [(i, j) for i in range(1, 30) for j in range(i + 1, 30)]
+    some = spark.createDataFrame([(i, 1) for i in range(1, 20)], "node bigint, root bigint")
+    assert sorted(tuple(r) for r in C._rest(filed, some, 7).collect()) == [(i, j) for i, j in sorted(got) if j > 19]
+
+
+def test_near_in_a_hot_bucket(spark):
+    data = hot()
+    _, root = brute_near(data)
+    want = {(i, r) for i, r in enumerate(root) if r != i}
+    got = {tuple(r) for r in C.duplicates(spark.createDataFrame(data, "doc_id bigint, text string")).collect()}
+    assert len(got & want) >= 0.99 * len(want) and {x for x, _ in got} <= {x for x, _ in want}

@@ -11,9 +11,11 @@ nulls last.
    pair follows from the containment threshold and the sizes that can meet there; bands and rows are tuned to it so
    that such a pair shares a band with probability RECALL. A node is filed under its own partition's bands, and asks in
    the next one's if its size allows partners there.
-3. In each bucket every node is paired with the bucket's leader, of four orders of precedence by turns, so the number
-   of pairs is linear in the number of nodes. Sketches and sizes drop most chance pairs.
-4. For the pairs left, the texts are brought together and containment is computed exactly from whole texts.
+3. In each bucket every node is paired with the bucket's leader, of four orders of precedence by turns. Sketches and
+   sizes drop most chance pairs. For the pairs left, the texts are brought together and containment is computed
+   exactly from whole texts. That joins most of each group at a linear number of pairs.
+4. Then all pairs of a bucket whose nodes aren't in one group yet are compared in the same way. A large bucket is cut
+   into blocks of about BLOCK nodes, and each two blocks are paired by themselves.
 5. Components of the verified pairs are found by large-star and small-star rounds.
 
 Nulls: a null text, and one without words, is near nothing; its row stays. A text of fewer than SHINGLE words is a
@@ -29,7 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webloom.session import materialize
@@ -46,6 +48,7 @@ RECALL = 0.93
 HASHES = 64
 SKETCH_SLACK = 2.0  # standard deviations of the sketch's estimate below the least similarity
 CHUNK_ROWS = 512
+BLOCK = 4096
 
 _seeds = np.random.default_rng(20)
 _A = _seeds.integers(1, 1 << 63, HASHES + 128, dtype=np.uint64) | U64(1)
@@ -170,14 +173,36 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b): each node of a bucket with the bucket's leader."""
+def _filed(nodes: DataFrame) -> DataFrame:
+    """The nodes of each bucket of two or more."""
     filed = nodes.select("node", "n", "sk_hi", "sk_lo", "far", F.explode("bands").alias("key"))
+    return filed.withColumn("many", F.count("*").over(Window.partitionBy("key"))).filter("many > 1")
+
+
+def _alike(x: str, y: str) -> Column:
+    """Whether sizes and sketches let two filed nodes be near-duplicates."""
+    differ = F.expr(f"bit_count({x}.sk_hi ^ {y}.sk_hi) + bit_count({x}.sk_lo ^ {y}.sk_lo)")
+    ratio = F.greatest(f"{x}.n", f"{y}.n") <= F.lit(MAX_RATIO) * F.least(f"{x}.n", f"{y}.n")
+    return ratio & (differ <= F.greatest(f"{x}.far", f"{y}.far"))
+
+
+def _candidates(filed: DataFrame) -> DataFrame:
+    """(a, b): each node of a bucket with the bucket's leader."""
     w = Window.partitionBy("key").orderBy(F.xxhash64("node", F.pmod("key", F.lit(4))), "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    led = filed.withColumn("lead", F.first(F.struct("node", "n", "sk_hi", "sk_lo", "far")).over(w)).filter("lead.node <> node")
-    differ = F.expr("bit_count(sk_hi ^ lead.sk_hi) + bit_count(sk_lo ^ lead.sk_lo)")
-    ratio = F.greatest("n", "lead.n") <= F.lit(MAX_RATIO) * F.least("n", "lead.n")
-    return led.filter(ratio & (differ <= F.greatest("far", "lead.far"))).select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
+    me = F.struct("node", "n", "sk_hi", "sk_lo", "far")
+    led = filed.select(F.first(me).over(w).alias("lead"), me.alias("me")).filter("lead.node <> me.node")
+    return led.filter(_alike("lead", "me")).select(F.col("lead.node").alias("a"), F.col("me.node").alias("b")).distinct()
+
+
+def _rest(filed: DataFrame, roots: DataFrame, block: int) -> DataFrame:
+    """(a, b): all pairs of a bucket that aren't in one group yet."""
+    held = filed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    held = held.withColumn("blocks", F.ceil(F.col("many") / block)).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    left = held.withColumn("i", F.col("mine")).withColumn("j", F.explode(F.sequence("mine", F.col("blocks") - 1))).alias("l")
+    right = held.withColumn("j", F.col("mine")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), "mine"))).alias("r")
+    once = (F.col("l.i") < F.col("l.j")) | (F.col("l.node") < F.col("r.node"))
+    met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j")) & (F.col("l.root") != F.col("r.root")) & once & _alike("l", "r"))
+    return met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
 
 
 def _flags(sketched: DataFrame, texts: DataFrame) -> DataFrame:
@@ -225,8 +250,11 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = F.struct("t_hi", "t_lo", "n", "sk_hi", "sk_lo", "far", "bands")
     nodes = sketched.groupBy("set_hi", "set_lo").agg(F.min_by(rest, F.struct("t_hi", "t_lo")).alias("r")).select("set_hi", "set_lo", "r.*")
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    pairs = materialize(_candidates(nodes), "pairs")
-    roots = components(_verified(rows.select("t_hi", "t_lo", "part", "text"), sketched, nodes, pairs))
+    texts = rows.select("t_hi", "t_lo", "part", "text")
+    filed = materialize(_filed(nodes), "filed")
+    edges = materialize(_verified(texts, sketched, nodes, materialize(_candidates(filed), "pairs")), "verified")
+    rest = materialize(_rest(filed, components(edges), BLOCK), "rest")
+    roots = components(edges.unionByName(_verified(texts, sketched, nodes, rest)))
     of_set = nodes.select("set_hi", "set_lo", "node").join(roots, "node", "left").select("set_hi", "set_lo", F.coalesce("root", "node").alias("root"))
     member = sketched.select("doc_id", "t_hi", "t_lo", "set_hi", "set_lo").join(of_set, ["set_hi", "set_lo"]).drop("set_hi", "set_lo")
     group = member.groupBy("root").agg(F.count("*").alias("n_rows"), F.min("doc_id").alias("kept")).filter("n_rows > 1")
