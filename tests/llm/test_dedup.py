@@ -145,3 +145,11 @@ def test_near_in_a_hot_bucket(spark):
     want = {(i, r) for i, r in enumerate(root) if r != i}
     got = {tuple(r) for r in C.duplicates(spark.createDataFrame(data, "doc_id bigint, text string")).collect()}
     assert len(got & want) >= 0.99 * len(want) and {x for x, _ in got} <= {x for x, _ in want}
+
+
+def test_near_holds_whole_texts_of_any_length(spark):
+    data = [(1, util.prose(50, 40)), (2, util.prose(51, 4)), (3, util.prose(52, 300))]
+    data += [(10 + i, t + " " + util.prose(60 + i, n)) for i, ((_, t), n) in enumerate(zip(data, (30, 9_000, 1_200)))]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    assert util.rows(C.duplicates(df)) == [(10, 1), (11, 2), (12, 3)]
+    assert C.keep_one(df, 1.5).count() == 6

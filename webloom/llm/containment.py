@@ -1,21 +1,24 @@
 """Near-duplicate documents by a MinHash containment ensemble.
 
 Two documents are near-duplicates if the smaller one's set of SHINGLE-word shingles is contained in the other's to at
-least CONTAINMENT, and the larger set is at most MAX_RATIO times the smaller (a longer text that quotes a short one is
-no copy of it). Groups are the connected components of that relation; of each the row with the least doc_id stays,
-nulls last.
+least CONTAINMENT, however much larger that one is; a caller may set a most ratio of the sizes. Groups are the connected
+components of that relation, so texts that hold the same short text are in one group; of each the row with the least
+doc_id stays, nulls last.
 
 1. Every row gets its shingle set, MinHash values, and a 128-bit sketch of one bit a hash. Rows with equal sets
    are one node from here on.
-2. Nodes are partitioned by set size in powers of two. A partition's least Jaccard similarity of a near-duplicate
-   pair follows from the containment threshold and the sizes that can meet there; bands and rows are tuned to it so
+2. Nodes are partitioned by set size in powers of two. For pairs of sizes up to BAND_RATIO apart, a partition's least
+   Jaccard similarity of a near-duplicate pair follows from the containment threshold and the sizes that can meet there; bands and rows are tuned to it so
    that such a pair shares a band with probability RECALL. A node is filed under its own partition's bands, and asks in
    the next one's if its size allows partners there.
 3. In each bucket every node is paired with the bucket's leader, of four orders of precedence by turns. Sketches and
    sizes drop most chance pairs. For the pairs left, the texts are brought together and containment is computed
    exactly from whole texts. That joins most of each group at a linear number of pairs.
 4. Then all pairs of a bucket whose nodes aren't in one group yet are compared in the same way. A large bucket is cut
-   into blocks of about BLOCK nodes, and each two blocks are paired by themselves.
+   into blocks of about BLOCK nodes, and each two blocks are paired by themselves. So are pairs of any sizes that share
+   shingles: of each node the LEAST shingles of least hash are asked for in the whole sets of all nodes (of a pair, a
+   share of CONTAINMENT is found there whatever the larger size). A bitmap of those asked for keeps most others from
+   the shuffle. As a pair shares many of them, the few that the most nodes hold needn't be asked for: see _asked().
 5. Components of the verified pairs are found by large-star and small-star rounds.
 
 Nulls: a null text, and one without words, is near nothing; its row stays. A text of fewer than SHINGLE words is a
@@ -43,12 +46,16 @@ from ._text import U64, chunks, mix, shingle_sets
 
 SHINGLE = 4
 CONTAINMENT = 0.7
-MAX_RATIO = 1.5
+BAND_RATIO = 1.5
 RECALL = 0.93
 HASHES = 64
 SKETCH_SLACK = 2.0  # standard deviations of the sketch's estimate below the least similarity
 CHUNK_ROWS = 512
 BLOCK = 4096
+LEAST = 16  # shingles of a set asked for in others
+SKIPPED = 5  # of these, the commonest that are left out
+SHARED = 2  # of the rest, how many a pair must share
+MAX_BITMAP = 1 << 29  # bits
 
 _seeds = np.random.default_rng(20)
 _A = _seeds.integers(1, 1 << 63, HASHES + 128, dtype=np.uint64) | U64(1)
@@ -61,12 +68,12 @@ def size_class(n: int) -> int:
 
 @lru_cache(None)
 def least_jaccard(c: int) -> float:
-    """The least similarity of a near-duplicate pair whose larger set is of class c (2^c up to 2^(c+1) - 1)."""
+    """The least similarity of a near-duplicate pair up to BAND_RATIO apart whose larger set is of class c (2^c up to 2^(c+1) - 1)."""
     lo, hi = 1 << c, (1 << (c + 1)) - 1
     sizes = range(lo, hi + 1) if c < 8 else (lo, hi)
     worst = 1.0
     for u in sizes:
-        least = max(1, math.ceil(u / MAX_RATIO))
+        least = max(1, math.ceil(u / BAND_RATIO))
         for q in range(least, u + 1) if c < 8 else (least, u):
             shared = math.ceil(CONTAINMENT * q - 1e-9)
             worst = min(worst, shared / (q + u - shared))
@@ -100,11 +107,11 @@ def _keys(minima: np.ndarray, c: int) -> list[int]:
     return key.view(np.int64).tolist()
 
 
-SKETCHED = "part int, doc_id bigint, t_hi bigint, t_lo bigint, set_hi bigint, set_lo bigint, n int, sk_hi bigint, sk_lo bigint, far int, bands array<bigint>"
+SKETCHED = "part int, doc_id bigint, t_hi bigint, t_lo bigint, set_hi bigint, set_lo bigint, n int, sk_hi bigint, sk_lo bigint, far int, bands array<bigint>, least array<bigint>"
 _ARROW = pa.schema(
     [("part", pa.int32())]
     + [(n, pa.int64()) for n in ("doc_id", "t_hi", "t_lo", "set_hi", "set_lo")]
-    + [("n", pa.int32()), ("sk_hi", pa.int64()), ("sk_lo", pa.int64()), ("far", pa.int32()), ("bands", pa.list_(pa.int64()))]
+    + [("n", pa.int32()), ("sk_hi", pa.int64()), ("sk_lo", pa.int64()), ("far", pa.int32()), ("bands", pa.list_(pa.int64())), ("least", pa.list_(pa.int64()))]
 )
 
 
@@ -130,14 +137,14 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, n in enumerate(sizes.tolist()):
                 c = size_class(n)
                 keys = _keys(minima[i], c)
-                if math.floor(n * MAX_RATIO) >= 1 << (c + 1):
+                if math.floor(n * BAND_RATIO) >= 1 << (c + 1):
                     keys += _keys(minima[i], c + 1)
                 bands.append(keys)
                 far.append(sketch_distance(c + 1))
             rows = batch.slice(a, b - a).take(pa.array(keep))
             yield pa.RecordBatch.from_arrays(
                 [rows.column("part"), rows.column("doc_id"), rows.column("t_hi"), rows.column("t_lo"), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(sizes.astype(np.int32))]
-                + [pa.array(np.ascontiguousarray(bits[:, 0])), pa.array(np.ascontiguousarray(bits[:, 1])), pa.array(far, pa.int32()), pa.array(bands, pa.list_(pa.int64()))],
+                + [pa.array(np.ascontiguousarray(bits[:, 0])), pa.array(np.ascontiguousarray(bits[:, 1])), pa.array(far, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array([x[:LEAST].view(np.int64) for x in sets], pa.list_(pa.int64()))],
                 schema=_ARROW,
             )
 
@@ -149,28 +156,31 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
-def near(a: np.ndarray, b: np.ndarray) -> bool:
+def near(a: np.ndarray, b: np.ndarray, max_ratio: float = math.inf) -> bool:
     """Whether two non-empty shingle sets are those of near-duplicates."""
     small, large = sorted((len(a), len(b)))
-    return large <= MAX_RATIO * small and _shared(a, b) >= CONTAINMENT * small - 1e-9
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (a, chunk), the leader's own text first."""
-    leader, held = None, None
-    for batch in batches:
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        texts = batch.column("text")
-        left, right = [], []
-        for i, j in chunks(texts):
-            for x, y, s in zip(a[i:j], b[i:j], shingle_sets(texts.slice(i, j - i), SHINGLE)):
-                if x == y:
-                    leader, held = x, s
-                elif leader == x and near(held, s):
-                    left.append(x)
-                    right.append(y)
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+    return large <= max_ratio * small and _shared(a, b) >= CONTAINMENT * small - 1e-9
+
+
+def _verify(max_ratio: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (a, chunk), the leader's own text first."""
+        leader, held = None, None
+        for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            texts = batch.column("text")
+            left, right = [], []
+            for i, j in chunks(texts):
+                for x, y, s in zip(a[i:j], b[i:j], shingle_sets(texts.slice(i, j - i), SHINGLE)):
+                    if x == y:
+                        leader, held = x, s
+                    elif leader == x and near(held, s, max_ratio):
+                        left.append(x)
+                        right.append(y)
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    return run
 
 
 def _filed(nodes: DataFrame) -> DataFrame:
@@ -182,7 +192,7 @@ def _filed(nodes: DataFrame) -> DataFrame:
 def _alike(x: str, y: str) -> Column:
     """Whether sizes and sketches let two filed nodes be near-duplicates."""
     differ = F.expr(f"bit_count({x}.sk_hi ^ {y}.sk_hi) + bit_count({x}.sk_lo ^ {y}.sk_lo)")
-    ratio = F.greatest(f"{x}.n", f"{y}.n") <= F.lit(MAX_RATIO) * F.least(f"{x}.n", f"{y}.n")
+    ratio = F.greatest(f"{x}.n", f"{y}.n") <= F.lit(BAND_RATIO) * F.least(f"{x}.n", f"{y}.n")
     return ratio & (differ <= F.greatest(f"{x}.far", f"{y}.far"))
 
 
@@ -194,6 +204,63 @@ def _candidates(filed: DataFrame) -> DataFrame:
     return led.filter(_alike("lead", "me")).select(F.col("lead.node").alias("a"), F.col("me.node").alias("b")).distinct()
 
 
+def _bitmap(hashes: DataFrame, n: int) -> np.ndarray:
+    """A bit for each of n hashes, by their last bits; a multiple of their number, up to MAX_BITMAP, which lets more pass."""
+    bits = min(MAX_BITMAP, max(1 << 15, 1 << (8 * n).bit_length()))
+    at = F.pmod("h", F.lit(bits)) + 1
+    words = hashes.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    out = np.zeros(bits >> 3, np.uint8)
+    for k, word in words.toLocalIterator():
+        out[(k - 1) << 12 : k << 12] = np.frombuffer(word, np.uint8)
+    return out
+
+
+def _asked(texts: DataFrame, nodes: DataFrame, max_ratio: float) -> DataFrame:
+    """(a, b, sure): pairs whose smaller set's least shingles are in the larger one often enough.
+
+    A set of up to LEAST shingles is asked for as a whole, so the count of those shared is its containment and sure. Of a
+    larger set LEAST shingles are asked for; fewer than SKIPPED + SHARED of these are shared with a near-duplicate once
+    in 40 times at the least containment, and far less often above it. A pair that shares enough shares some of what is
+    left without the commonest ones, so pairs are sought by the rest and then counted by all.
+    """
+    least = nodes.select("node", "n", F.explode("least").alias("h"))
+    held = least.sparkSession.sparkContext.broadcast(_bitmap(least, least.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = held.value
+        for batch in batches:
+            text = batch.column("text")
+            for i, j in chunks(text):
+                sets = shingle_sets(text.slice(i, j - i), SHINGLE)
+                flat = np.concatenate(sets)
+                at = (flat & U64(len(bitmap) * 8 - 1)).astype(np.int64)
+                seen = np.flatnonzero(bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                rows = np.repeat(np.arange(i, j), [len(x) for x in sets])[seen]
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(flat[seen].view(np.int64)), batch.column("t_hi").take(pa.array(rows)), batch.column("t_lo").take(pa.array(rows))], ["h", "t_hi", "t_lo"])
+
+    # the text that stands for a node is the only one of its set
+    own = nodes.select("t_hi", "t_lo", "node", "n")
+    holders = texts.select("t_hi", "t_lo", "text").mapInArrow(run, "h bigint, t_hi bigint, t_lo bigint").distinct()
+    holders = holders.join(own, ["t_hi", "t_lo"]).select("h", "node", "n", F.count("*").over(Window.partitionBy("h")).alias("df")).filter("df > 1")
+    holders = materialize(holders, "holders")
+    df = holders.select("h", "df").distinct()
+    short = F.col("n") <= LEAST
+    skipped = F.when(short, F.col("n") - F.ceil(CONTAINMENT * F.col("n") - 1e-9)).otherwise(SKIPPED)
+    by_df = Window.partitionBy("node").orderBy(F.desc("df"), "h")
+    # those that no other node holds count as the rarest, so the rank of the others is right without them
+    chosen = least.join(df, "h").withColumn("rank", F.row_number().over(by_df)).filter(F.col("rank") > skipped).select("h", F.col("node").alias("a"), F.col("n").alias("a_n"))
+    fits = (F.col("n") > F.col("a_n")) | ((F.col("n") == F.col("a_n")) & (F.col("node") > F.col("a")))
+    met = chosen.join(holders, "h").filter(fits & (F.col("n") <= F.lit(max_ratio) * F.col("a_n")))
+    counts = met.groupBy("a", F.col("node").alias("b"), "a_n").agg(F.count("*").alias("times"))
+    some = counts.filter(F.col("times") >= F.when(F.col("a_n") <= LEAST, 1).otherwise(SHARED)).select("a", "b", "a_n")
+    sought = some.join(least.select(F.col("node").alias("a"), "h"), "a")
+    shared = sought.join(holders.select("h", F.col("node").alias("b")), ["h", "b"]).groupBy("a", "b", "a_n").agg(F.count("*").alias("times"))
+    sure = F.col("a_n") <= LEAST
+    enough = F.when(sure, F.ceil(CONTAINMENT * F.col("a_n") - 1e-9)).otherwise(SKIPPED + SHARED)
+    return materialize(shared.filter(F.col("times") >= enough).select("a", "b", sure.alias("sure")), "asked")
+
+
 def _rest(filed: DataFrame, roots: DataFrame, block: int) -> DataFrame:
     """(a, b): all pairs of a bucket that aren't in one group yet."""
     held = filed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -211,7 +278,7 @@ def _flags(sketched: DataFrame, texts: DataFrame) -> DataFrame:
     return sketched.select("part", "t_hi", "t_lo").join(wanted, ["t_hi", "t_lo"], "left").select("part", F.col("t_hi").alias("h"), "flag")
 
 
-def _verified(docs: DataFrame, sketched: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, sketched: DataFrame, nodes: DataFrame, pairs: DataFrame, max_ratio: float) -> DataFrame:
     """The pairs (a, b) whose containment holds."""
     many = F.count("*").over(Window.partitionBy("a"))
     placed = pairs.withColumn("chunk", F.pmod(F.xxhash64("b"), F.lit(1) + F.floor(many / CHUNK_ROWS)).cast("int"))
@@ -222,7 +289,7 @@ def _verified(docs: DataFrame, sketched: DataFrame, nodes: DataFrame, pairs: Dat
     texts = mine.groupBy("t_hi", "t_lo").agg(F.min("text").alias("text"))
     rows = asked.join(texts, ["t_hi", "t_lo"]).select("a", "chunk", "b", "text")
     ordered = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", (F.col("a") != F.col("b")))
-    return ordered.select("a", "b", "text").mapInArrow(_verify, "a bigint, b bigint")
+    return ordered.select("a", "b", "text").mapInArrow(_verify(max_ratio), "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -242,19 +309,25 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def grouped(docs: DataFrame, max_ratio: float = math.inf) -> tuple[DataFrame, DataFrame]:
     """(doc_id, t_hi, t_lo, root, kept, n_rows) of every row in a group of two or more; and the sketches of all rows."""
     rows = pick(docs, doc_id="bigint", text="string").filter("text IS NOT NULL")
     rows = rows.withColumns({"t_hi": F.xxhash64("text"), "t_lo": F.xxhash64(F.lit(7), "text"), "part": F.spark_partition_id()})
     sketched = materialize(rows.mapInArrow(_sketch, SKETCHED), "sketches")
-    rest = F.struct("t_hi", "t_lo", "n", "sk_hi", "sk_lo", "far", "bands")
+    rest = F.struct("t_hi", "t_lo", "n", "sk_hi", "sk_lo", "far", "bands", "least")
     nodes = sketched.groupBy("set_hi", "set_lo").agg(F.min_by(rest, F.struct("t_hi", "t_lo")).alias("r")).select("set_hi", "set_lo", "r.*")
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     texts = rows.select("t_hi", "t_lo", "part", "text")
     filed = materialize(_filed(nodes), "filed")
-    edges = materialize(_verified(texts, sketched, nodes, materialize(_candidates(filed), "pairs")), "verified")
-    rest = materialize(_rest(filed, components(edges), BLOCK), "rest")
-    roots = components(edges.unionByName(_verified(texts, sketched, nodes, rest)))
+    edges = materialize(_verified(texts, sketched, nodes, materialize(_candidates(filed), "pairs"), max_ratio), "verified")
+    asked = _asked(texts, nodes, max_ratio)
+    edges = edges.unionByName(asked.filter("sure").select("a", "b"))
+    joined = materialize(components(edges), "joined")
+    for end in ("a", "b"):
+        asked = asked.join(joined.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
+    asked = asked.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = materialize(_rest(filed, joined, BLOCK).unionByName(asked).distinct(), "rest")
+    roots = components(edges.unionByName(_verified(texts, sketched, nodes, rest, max_ratio)))
     of_set = nodes.select("set_hi", "set_lo", "node").join(roots, "node", "left").select("set_hi", "set_lo", F.coalesce("root", "node").alias("root"))
     member = sketched.select("doc_id", "t_hi", "t_lo", "set_hi", "set_lo").join(of_set, ["set_hi", "set_lo"]).drop("set_hi", "set_lo")
     group = member.groupBy("root").agg(F.count("*").alias("n_rows"), F.min("doc_id").alias("kept")).filter("n_rows > 1")
@@ -268,10 +341,10 @@ def duplicates(docs: DataFrame) -> DataFrame:
     return by_id.select("doc_id", F.col("kept").alias("kept_doc_id"), F.explode(F.array_repeat(F.lit(1), lost.cast("int"))).alias("one")).drop("one")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group: the columns as they came."""
+def keep_one(docs: DataFrame, max_ratio: float = math.inf) -> DataFrame:
+    """docs with one row of each group, of pairs with sizes up to max_ratio apart: the columns as they came."""
     docs = pinned(docs)
-    group, sketched = grouped(docs)
+    group, sketched = grouped(docs, max_ratio)
     rows, positions = with_picked(docs, doc_id="bigint", text="string")
     rows = rows.withColumns({"wl_hi": F.xxhash64("wl_text"), "wl_lo": F.xxhash64(F.lit(7), "wl_text"), "wl_part": F.spark_partition_id()})
     marked = rows.withColumn("wl_mark", F.when(F.col("wl_text").isNull(), CLEAR).otherwise(marker(_flags(sketched, group))("wl_hi", "wl_part")))
