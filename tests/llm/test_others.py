@@ -281,3 +281,16 @@ def test_fingerprints_edges(spark, make):
     by = {r.doc_id: r for r in out.collect() if r.doc_id is not None}
     if by:
         assert by[7].n_terms == 0 and by[7].fp_0 is None and by[1].fp_0 == by[2].fp_0
+
+
+def test_every_label_is_a_language(spark):
+    import random
+
+    r = random.Random(3)
+    rows = []
+    for i in range(70):
+        for _ in range(1 + (i < 64)):
+            rows.append((len(rows), "".join(chr(0x4E00 + 40 * i + r.randrange(40)) for _ in range(300)), f"l{i:02}"))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert {r.doc_id: r.lang for r in ppm_langid.identify(df).collect()} == {i: lang for i, _, lang in rows}
+    assert ppm_langid.keep_accepted(df).count() == len(rows)

@@ -16,7 +16,8 @@ any labelled row there is nothing to tell languages by: all have a null language
 Labels other than null and '' count as languages as they are. Repeated rows get equal results.
 
 The sample is the rows with the least hash of a language, up to SAMPLE_ROWS rows and SAMPLE_BYTES bytes (one row at
-least), of the LANGUAGES commonest labels; it bounds the training, not the scoring.
+least), of every label; it bounds the training, not the scoring. Languages are trained and scored BLOCK at a time, so
+that costs are stored for the grams of BLOCK languages only and memory grows in proportion to the languages.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from ._text import buffers, chunks
 ORDER = 4
 SAMPLE_ROWS = 384
 SAMPLE_BYTES = 2_000_000
-LANGUAGES = 64
+BLOCK = 16  # languages that share a dictionary
 MAX_BITS = 8.0
 MIN_BYTES = 24
 STRETCH = 1 << 19  # bytes of a long text scored at a time
@@ -189,10 +190,29 @@ def train(texts: dict[str, list[bytes]]) -> Model | None:
     return Model(languages, grams, costs, contexts, escapes)
 
 
+@dataclass
+class Models:
+    """Models of some languages each, in order of their names."""
+
+    blocks: list[Model]
+
+    @property
+    def languages(self) -> list[str]:
+        return [name for m in self.blocks for name in m.languages]
+
+    def totals(self, arr: pa.Array) -> np.ndarray:
+        return np.hstack([m.totals(arr) for m in self.blocks])
+
+
+def train_all(texts: dict[str, list[bytes]]) -> Models | None:
+    names = sorted(texts)
+    blocks = [train({name: texts[name] for name in names[i : i + BLOCK]}) for i in range(0, len(names), BLOCK)]
+    return Models(blocks) if blocks else None
+
+
 def sample(docs: DataFrame) -> dict[str, list[bytes]]:
     rows = pick(docs, doc_id="bigint", text="string", lang="string").filter("text <> '' AND lang <> ''")
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    rows = rows.join(F.broadcast(common), "lang", "left_semi").withColumn("h", F.xxhash64("doc_id", "text"))
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text"))
     w = Window.partitionBy("lang").orderBy("h")
     least = rows.select("lang", "h", F.octet_length("text").alias("size")).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= SAMPLE_ROWS)
     least = least.withColumn("sum", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter(f"n = 1 OR sum <= {SAMPLE_BYTES}")
@@ -203,7 +223,7 @@ def sample(docs: DataFrame) -> dict[str, list[bytes]]:
     return {lang: [by[h] for h in sorted(by)] for lang, by in got.items()}
 
 
-def judge(model: Model | None, arr: pa.Array) -> pa.StructArray:
+def judge(model: Model | Models | None, arr: pa.Array) -> pa.StructArray:
     import pyarrow.compute as pc
 
     size = pc.fill_null(pc.binary_length(arr), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -226,7 +246,7 @@ def judge(model: Model | None, arr: pa.Array) -> pa.StructArray:
 
 def scorer(docs: DataFrame) -> "Column":
     """A function of a text column, with the model trained on docs."""
-    held = docs.sparkSession.sparkContext.broadcast(train(sample(docs)))
+    held = docs.sparkSession.sparkContext.broadcast(train_all(sample(docs)))
 
     @F.arrow_udf(RESULT)
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
