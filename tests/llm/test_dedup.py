@@ -153,3 +153,11 @@ def test_near_holds_whole_texts_of_any_length(spark):
     df = spark.createDataFrame(data, "doc_id bigint, text string")
     assert util.rows(C.duplicates(df)) == [(10, 1), (11, 2), (12, 3)]
     assert C.keep_one(df, 1.5).count() == 6
+
+
+def test_sketches_pass_pairs_at_the_least_similarity():
+    from math import comb
+
+    for c in range(20):
+        p = (1 - C.least_jaccard(c)) / 2
+        assert sum(comb(128, k) * p**k * (1 - p) ** (128 - k) for k in range(C.sketch_distance(c) + 1)) >= 0.999

@@ -49,7 +49,7 @@ CONTAINMENT = 0.7
 BAND_RATIO = 1.5
 RECALL = 0.93
 HASHES = 64
-SKETCH_SLACK = 2.0  # standard deviations of the sketch's estimate below the least similarity
+SKETCH_SLACK = 3.5  # standard deviations of the sketch's estimate below the least similarity
 CHUNK_ROWS = 512
 BLOCK = 4096
 LEAST = 16  # shingles of a set asked for in others
