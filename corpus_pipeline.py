@@ -12,8 +12,6 @@ from webloom.llm import bestfit, containment, golomb_dedup, ppm_langid
 from webloom.session import materialize
 from webloom.tables import table
 
-MAX_RATIO = 1.5  # of the sizes of near-duplicates
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that no language explains."""
@@ -26,8 +24,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates; a long text that quotes a short one is no copy of it."""
-    return containment.keep_one(docs, MAX_RATIO)
+    """Keeps one document of each group of near-duplicates; a short text that a long one quotes stays."""
+    return containment.keep_one(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,15 +45,22 @@ def by_part(batches: Iterator[pd.Series], read) -> Iterator[tuple[np.ndarray, ob
         yield h.to_numpy(np.int64, na_value=0), held[p]
 
 
-def _read(base: str, part: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, sorted; whether each is flagged) on record for a partition."""
+def read_part(base: str, part: int, columns: list[str]):
+    """The rows on record for a partition, None where there are none."""
     import pyarrow.dataset as ds
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(f"{base}/part={part}")
     if store.get_file_info(path).type == fs.FileType.NotFound:
+        return None
+    return ds.dataset(path, filesystem=store, format="parquet").to_table(columns=columns)
+
+
+def _read(base: str, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sorted; whether each is flagged) on record for a partition."""
+    rows = read_part(base, part, ["h", "flag"])
+    if rows is None:
         return np.zeros(0, np.int64), np.zeros(0, bool)
-    rows = ds.dataset(path, filesystem=store, format="parquet").to_table(columns=["h", "flag"])
     h, flag = rows.column("h").to_numpy(), rows.column("flag").to_numpy()
     order = np.lexsort((flag, h))
     h, flag = h[order], flag[order]

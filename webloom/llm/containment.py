@@ -1,29 +1,34 @@
 """Near-duplicate documents by a MinHash containment ensemble.
 
-Two documents are near-duplicates if the smaller one's set of SHINGLE-word shingles is contained in the other's to at
-least CONTAINMENT, however much larger that one is; a caller may set a most ratio of the sizes. Groups are the connected
-components of that relation, so texts that hold the same short text are in one group; of each the row with the least
-doc_id stays, nulls last.
+Two documents are linked if the smaller one's set of SHINGLE-word shingles is contained in the other's to at least
+CONTAINMENT. Links of sets up to RATIO apart in size join their documents: groups are the connected components, and of
+each the row with the least doc_id stays, nulls last. A link to a set more than RATIO times as large goes one way: a
+group is absorbed if one of its largest sets is contained in such a set, and what stays in its place is what stays for
+that set's group. So a short text that many long ones hold doesn't join these. Sizes grow along absorptions, so they end.
 
 1. Every row gets its shingle set, MinHash values, and a 128-bit sketch of one bit a hash. Rows with equal sets
    are one node from here on.
-2. Nodes are partitioned by set size in powers of two. For pairs of sizes up to BAND_RATIO apart, a partition's least
-   Jaccard similarity of a near-duplicate pair follows from the containment threshold and the sizes that can meet there; bands and rows are tuned to it so
+2. Nodes are partitioned by set size in powers of two. A partition's least Jaccard similarity of a pair up to RATIO apart
+   follows from the containment threshold and the sizes that can meet there; bands and rows are tuned to it so
    that such a pair shares a band with probability RECALL. A node is filed under its own partition's bands, and asks in
    the next one's if its size allows partners there.
-3. In each bucket every node is paired with the bucket's leader, of four orders of precedence by turns. Sketches and
-   sizes drop most chance pairs. For the pairs left, the texts are brought together and containment is computed
-   exactly from whole texts. That joins most of each group at a linear number of pairs.
-4. Then all pairs of a bucket whose nodes aren't in one group yet are compared in the same way. A large bucket is cut
-   into blocks of about BLOCK nodes, and each two blocks are paired by themselves. So are pairs of any sizes that share
-   shingles: of each node the LEAST shingles of least hash are asked for in the whole sets of all nodes (of a pair, a
-   share of CONTAINMENT is found there whatever the larger size). A bitmap of those asked for keeps most others from
-   the shuffle. As a pair shares many of them, the few that the most nodes hold needn't be asked for: see _asked().
-5. Components of the verified pairs are found by large-star and small-star rounds.
+3. In each bucket every node is paired with the bucket's leader, of four orders of precedence by turns; sketches and
+   sizes drop most chance pairs. Of each node the pair of nearest sketches is verified: its texts are brought together
+   and containment is computed exactly from whole texts. That joins most of each group, and each text is sent once.
+4. Towards larger partitions the Jaccard threshold of a containment falls so low that a band has one row: the MinHash
+   values of the smaller set are looked up by themselves. A set's LEAST shingles of least hash are asked for in the whole
+   sets of all nodes, by one aggregate over those that anyone asks for (a bitmap keeps most others from the shuffle), and
+   counted where a node of another group holds them. Sets with too few of these are linked to no other group. Those left, a
+   few, are asked for as a whole: a set goes on only if enough of all its shingles are held by sets of the right sizes
+   (these counts are exact); then the rarest of them, of which any link holds one, give its candidates, and the
+   shared shingles are counted for each. Absorption needs one container, so the largest holder is tried first.
+   So pairs are made where a link is likely and not for each that shares a passage.
+5. Components are found by large-star and small-star rounds, absorptions followed by pointer jumping.
 
 Nulls: a null text, and one without words, is near nothing; its row stays. A text of fewer than SHINGLE words is a
-single shingle. Rows with equal texts are near-duplicates; of rows equal in text and doc_id one stays. An empty table
-gives an empty result.
+single shingle. Rows with equal texts are near-duplicates; of rows equal in text and doc_id one stays. Very long texts
+are read whole, in vectorised pieces. Of containers of equal size the least hash decides. Other columns, whatever their
+names, are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,24 +42,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webloom.session import materialize
+from webloom.session import materialize, new_table_path
 from webloom.tables import table
 
-from ._aligned import CLEAR, marker, pinned
+from ._aligned import CLEAR, marker, pinned, read_part
 from ._cols import pick, restore, with_picked
 from ._text import U64, chunks, mix, shingle_sets
 
 SHINGLE = 4
 CONTAINMENT = 0.7
-BAND_RATIO = 1.5
+RATIO = 1.5
 RECALL = 0.93
 HASHES = 64
 SKETCH_SLACK = 3.5  # standard deviations of the sketch's estimate below the least similarity
 CHUNK_ROWS = 512
-BLOCK = 4096
 LEAST = 16  # shingles of a set asked for in others
-SKIPPED = 5  # of these, the commonest that are left out
-SHARED = 2  # of the rest, how many a pair must share
+FOUND = 7  # of these, how many others must hold: fewer come from a link once in 140 times at the least containment
 MAX_BITMAP = 1 << 29  # bits
 
 _seeds = np.random.default_rng(20)
@@ -68,12 +71,12 @@ def size_class(n: int) -> int:
 
 @lru_cache(None)
 def least_jaccard(c: int) -> float:
-    """The least similarity of a near-duplicate pair up to BAND_RATIO apart whose larger set is of class c (2^c up to 2^(c+1) - 1)."""
+    """The least similarity of a near-duplicate pair up to RATIO apart whose larger set is of class c (2^c up to 2^(c+1) - 1)."""
     lo, hi = 1 << c, (1 << (c + 1)) - 1
     sizes = range(lo, hi + 1) if c < 8 else (lo, hi)
     worst = 1.0
     for u in sizes:
-        least = max(1, math.ceil(u / BAND_RATIO))
+        least = max(1, math.ceil(u / RATIO))
         for q in range(least, u + 1) if c < 8 else (least, u):
             shared = math.ceil(CONTAINMENT * q - 1e-9)
             worst = min(worst, shared / (q + u - shared))
@@ -137,7 +140,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, n in enumerate(sizes.tolist()):
                 c = size_class(n)
                 keys = _keys(minima[i], c)
-                if math.floor(n * BAND_RATIO) >= 1 << (c + 1):
+                if math.floor(n * RATIO) >= 1 << (c + 1):
                     keys += _keys(minima[i], c + 1)
                 bands.append(keys)
                 far.append(sketch_distance(c + 1))
@@ -156,58 +159,58 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
-def near(a: np.ndarray, b: np.ndarray, max_ratio: float = math.inf) -> bool:
-    """Whether two non-empty shingle sets are those of near-duplicates."""
-    small, large = sorted((len(a), len(b)))
-    return large <= max_ratio * small and _shared(a, b) >= CONTAINMENT * small - 1e-9
+def near(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two non-empty shingle sets are linked."""
+    return _shared(a, b) >= CONTAINMENT * min(len(a), len(b)) - 1e-9
 
 
-def _verify(max_ratio: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (a, chunk), the leader's own text first."""
-        leader, held = None, None
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            texts = batch.column("text")
-            left, right = [], []
-            for i, j in chunks(texts):
-                for x, y, s in zip(a[i:j], b[i:j], shingle_sets(texts.slice(i, j - i), SHINGLE)):
-                    if x == y:
-                        leader, held = x, s
-                    elif leader == x and near(held, s, max_ratio):
-                        left.append(x)
-                        right.append(y)
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
-
-    return run
-
+def joins(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether they are linked and near in size."""
+    return max(len(a), len(b)) <= RATIO * min(len(a), len(b)) and near(a, b)
 
-def _filed(nodes: DataFrame) -> DataFrame:
-    """The nodes of each bucket of two or more."""
-    filed = nodes.select("node", "n", "sk_hi", "sk_lo", "far", F.explode("bands").alias("key"))
-    return filed.withColumn("many", F.count("*").over(Window.partitionBy("key"))).filter("many > 1")
 
-
-def _alike(x: str, y: str) -> Column:
-    """Whether sizes and sketches let two filed nodes be near-duplicates."""
-    differ = F.expr(f"bit_count({x}.sk_hi ^ {y}.sk_hi) + bit_count({x}.sk_lo ^ {y}.sk_lo)")
-    ratio = F.greatest(f"{x}.n", f"{y}.n") <= F.lit(BAND_RATIO) * F.least(f"{x}.n", f"{y}.n")
-    return ratio & (differ <= F.greatest(f"{x}.far", f"{y}.far"))
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (a, chunk), the leader's own text first."""
+    leader, held = None, None
+    for batch in batches:
+        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+        texts = batch.column("text")
+        left, right = [], []
+        for i, j in chunks(texts):
+            for x, y, s in zip(a[i:j], b[i:j], shingle_sets(texts.slice(i, j - i), SHINGLE)):
+                if x == y:
+                    leader, held = x, s
+                elif leader == x and joins(held, s):
+                    left.append(x)
+                    right.append(y)
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+
+def _led(nodes: DataFrame) -> DataFrame:
+    """(a, b, differ): each node of a bucket with the bucket's leader, if sizes and sketches let them be linked."""
+    filed = nodes.select("node", F.explode("bands").alias("key"))
+    lead = filed.groupBy("key").agg(F.min_by("node", F.struct(F.xxhash64("node", F.pmod("key", F.lit(4))), "node")).alias("lead"), F.count("*").alias("many")).filter("many > 1")
+    pairs = filed.join(lead, "key").filter("lead <> node").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in ("n", "sk_hi", "sk_lo", "far")]), end)
+    differ = F.expr("bit_count(a_sk_hi ^ b_sk_hi) + bit_count(a_sk_lo ^ b_sk_lo)")
+    near_size = F.greatest("a_n", "b_n") <= F.lit(RATIO) * F.least("a_n", "b_n")
+    return pairs.withColumn("differ", differ).filter(near_size & (F.col("differ") <= F.greatest("a_far", "b_far"))).select("a", "b", "differ")
 
 
-def _candidates(filed: DataFrame) -> DataFrame:
-    """(a, b): each node of a bucket with the bucket's leader."""
-    w = Window.partitionBy("key").orderBy(F.xxhash64("node", F.pmod("key", F.lit(4))), "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    me = F.struct("node", "n", "sk_hi", "sk_lo", "far")
-    led = filed.select(F.first(me).over(w).alias("lead"), me.alias("me")).filter("lead.node <> me.node")
-    return led.filter(_alike("lead", "me")).select(F.col("lead.node").alias("a"), F.col("me.node").alias("b")).distinct()
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends aren't in one group."""
+    for end in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
+    return pairs.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
 
 
 def _bitmap(hashes: DataFrame, n: int) -> np.ndarray:
-    """A bit for each of n hashes, by their last bits; a multiple of their number, up to MAX_BITMAP, which lets more pass."""
-    bits = min(MAX_BITMAP, max(1 << 15, 1 << (8 * n).bit_length()))
-    at = F.pmod("h", F.lit(bits)) + 1
+    """A bit for each of n hashes, by their first bits: as small sets are few, there are few bits for great hashes, and
+    most of them don't pass however many there are of small ones. The size is a multiple of n, up to MAX_BITMAP."""
+    bits = min(MAX_BITMAP, max(1 << 15, 1 << (24 * n).bit_length()))
+    at = F.shiftrightunsigned("h", 64 - (bits.bit_length() - 1)) + 1
     words = hashes.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
     out = np.zeros(bits >> 3, np.uint8)
     for k, word in words.toLocalIterator():
@@ -215,61 +218,130 @@ def _bitmap(hashes: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def _asked(texts: DataFrame, nodes: DataFrame, max_ratio: float) -> DataFrame:
-    """(a, b, sure): pairs whose smaller set's least shingles are in the larger one often enough.
+HOLDERS = "h bigint, node bigint, root bigint, n int, tag bigint"
+
+
+def _places(base: str, part: int) -> tuple[np.ndarray, ...]:
+    """(t_hi, sorted; node, root, tag) on record for a partition."""
+    rows = read_part(base, part, ["t_hi", "node", "root", "tag"])
+    if rows is None:
+        return (np.zeros(0, np.int64),) * 4
+    t = rows.column("t_hi").to_numpy()
+    order = np.argsort(t, kind="stable")
+    return (t[order], *(rows.column(c).to_numpy()[order] for c in ("node", "root", "tag")))
+
 
-    A set of up to LEAST shingles is asked for as a whole, so the count of those shared is its containment and sure. Of a
-    larger set LEAST shingles are asked for; fewer than SKIPPED + SHARED of these are shared with a near-duplicate once
-    in 40 times at the least containment, and far less often above it. A pair that shares enough shares some of what is
-    left without the commonest ones, so pairs are sought by the rest and then counted by all.
-    """
-    least = nodes.select("node", "n", F.explode("least").alias("h"))
-    held = least.sparkSession.sparkContext.broadcast(_bitmap(least, least.count()))
+def _holders(texts: DataFrame, base: str, hashes: DataFrame) -> DataFrame:
+    """(h, node, root, n, tag) of the shingles among hashes (and some others) in all texts. A node may recur."""
+    held = texts.sparkSession.sparkContext.broadcast(_bitmap(hashes, hashes.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = held.value
+        bitmap, part, places = held.value, None, None
+        shift = U64(64 - ((len(bitmap) << 3).bit_length() - 1))
         for batch in batches:
-            text = batch.column("text")
+            if not batch.num_rows:
+                continue
+            if part != (part := batch.column("part")[0].as_py()):
+                places = _places(base, part)
+            text, t_hi = batch.column("text"), batch.column("t_hi").to_numpy()
             for i, j in chunks(text):
                 sets = shingle_sets(text.slice(i, j - i), SHINGLE)
-                flat = np.concatenate(sets)
-                at = (flat & U64(len(bitmap) * 8 - 1)).astype(np.int64)
+                flat, size = np.concatenate(sets), np.array([len(x) for x in sets])
+                at = (flat >> shift).astype(np.int64)
                 seen = np.flatnonzero(bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-                rows = np.repeat(np.arange(i, j), [len(x) for x in sets])[seen]
-                if len(rows):
-                    yield pa.RecordBatch.from_arrays([pa.array(flat[seen].view(np.int64)), batch.column("t_hi").take(pa.array(rows)), batch.column("t_lo").take(pa.array(rows))], ["h", "t_hi", "t_lo"])
-
-    # the text that stands for a node is the only one of its set
-    own = nodes.select("t_hi", "t_lo", "node", "n")
-    holders = texts.select("t_hi", "t_lo", "text").mapInArrow(run, "h bigint, t_hi bigint, t_lo bigint").distinct()
-    holders = holders.join(own, ["t_hi", "t_lo"]).select("h", "node", "n", F.count("*").over(Window.partitionBy("h")).alias("df")).filter("df > 1")
-    holders = materialize(holders, "holders")
-    df = holders.select("h", "df").distinct()
-    short = F.col("n") <= LEAST
-    skipped = F.when(short, F.col("n") - F.ceil(CONTAINMENT * F.col("n") - 1e-9)).otherwise(SKIPPED)
-    by_df = Window.partitionBy("node").orderBy(F.desc("df"), "h")
-    # those that no other node holds count as the rarest, so the rank of the others is right without them
-    chosen = least.join(df, "h").withColumn("rank", F.row_number().over(by_df)).filter(F.col("rank") > skipped).select("h", F.col("node").alias("a"), F.col("n").alias("a_n"))
-    fits = (F.col("n") > F.col("a_n")) | ((F.col("n") == F.col("a_n")) & (F.col("node") > F.col("a")))
-    met = chosen.join(holders, "h").filter(fits & (F.col("n") <= F.lit(max_ratio) * F.col("a_n")))
-    counts = met.groupBy("a", F.col("node").alias("b"), "a_n").agg(F.count("*").alias("times"))
-    some = counts.filter(F.col("times") >= F.when(F.col("a_n") <= LEAST, 1).otherwise(SHARED)).select("a", "b", "a_n")
-    sought = some.join(least.select(F.col("node").alias("a"), "h"), "a")
-    shared = sought.join(holders.select("h", F.col("node").alias("b")), ["h", "b"]).groupBy("a", "b", "a_n").agg(F.count("*").alias("times"))
-    sure = F.col("a_n") <= LEAST
-    enough = F.when(sure, F.ceil(CONTAINMENT * F.col("a_n") - 1e-9)).otherwise(SKIPPED + SHARED)
-    return materialize(shared.filter(F.col("times") >= enough).select("a", "b", sure.alias("sure")), "asked")
-
-
-def _rest(filed: DataFrame, roots: DataFrame, block: int) -> DataFrame:
-    """(a, b): all pairs of a bucket that aren't in one group yet."""
-    held = filed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    held = held.withColumn("blocks", F.ceil(F.col("many") / block)).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    left = held.withColumn("i", F.col("mine")).withColumn("j", F.explode(F.sequence("mine", F.col("blocks") - 1))).alias("l")
-    right = held.withColumn("j", F.col("mine")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), "mine"))).alias("r")
-    once = (F.col("l.i") < F.col("l.j")) | (F.col("l.node") < F.col("r.node"))
-    met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j")) & (F.col("l.root") != F.col("r.root")) & once & _alike("l", "r"))
-    return met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
+                row = np.repeat(np.arange(j - i), size)[seen]
+                if len(row):
+                    where = np.minimum(np.searchsorted(places[0], t_hi[i:j][row]), len(places[0]) - 1)
+                    if not len(places[0]) or (places[0][where] != t_hi[i:j][row]).any():
+                        raise ValueError("a partition's rows have changed since the sketches were written")
+                    columns = [flat[seen].view(np.int64), places[1][where], places[2][where], size[row].astype(np.int32), places[3][where]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "node", "root", "n", "tag"])
+
+    return texts.select("part", "t_hi", "text").mapInArrow(run, HOLDERS)
+
+
+def _needed(n: str) -> Column:
+    """How many shingles a set of n must share."""
+    return F.ceil(CONTAINMENT * F.col(n) - 1e-9)
+
+
+def _class(n: str) -> Column:
+    return F.length(F.bin(n)) - 1
+
+
+def _whole_sets(texts: DataFrame, sketched: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(t_hi, t_lo, h): every shingle of the wanted texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column("text")
+            for i, j in chunks(text):
+                sets = shingle_sets(text.slice(i, j - i), SHINGLE)
+                row = pa.array(np.repeat(np.arange(i, j), [len(x) for x in sets]))
+                yield pa.RecordBatch.from_arrays([batch.column("t_hi").take(row), batch.column("t_lo").take(row), pa.array(np.concatenate(sets).view(np.int64))], ["t_hi", "t_lo", "h"])
+
+    mine = texts.filter(marker(_flags(sketched, wanted))("t_hi", "part") != CLEAR)
+    return mine.groupBy("t_hi", "t_lo").agg(F.min("text").alias("text")).mapInArrow(run, "t_hi bigint, t_lo bigint, h bigint")
+
+
+def _rarest(asked: DataFrame, df: str) -> DataFrame:
+    """(q, h): of each set's shingles asked for, so many of the rarest that any set that shares enough holds one.
+
+    asked: (q, q_n, h, df) of the shingles that are held at all; sets with fewer of these than they need go."""
+    of_set = Window.partitionBy("q")
+    ranked = asked.withColumns({"support": F.count("*").over(of_set), "rank": F.row_number().over(of_set.orderBy(df, "h"))})
+    return ranked.filter((F.col("support") >= _needed("q_n")) & (F.col("rank") <= F.col("support") - _needed("q_n") + 1)).select("q", "q_n", "h")
+
+
+def _counted(pairs: DataFrame, asked: DataFrame, holders: DataFrame) -> DataFrame:
+    """The pairs (q, node, ...) of which the second holds enough of the first's shingles, by exact counts."""
+    met = pairs.select("q", "node").join(asked.select("q", "q_n", "h"), "q").join(holders.select("h", "node"), ["h", "node"])
+    enough = met.groupBy("q", "node").agg(F.count("*").alias("times"), F.first("q_n").alias("q_n")).filter(F.col("times") >= _needed("q_n"))
+    return pairs.join(enough.select("q", "node"), ["q", "node"])
+
+
+def _asked(texts: DataFrame, sketched: DataFrame, nodes: DataFrame, joined: DataFrame, absorb: bool) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of links between groups of sets up to RATIO apart; and, if absorb, (root, into, n, tag, q_n): containers of groups."""
+    rooted = nodes.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = materialize(rooted.select("node", "root", "n", "t_hi", "t_lo", "set_hi", "set_lo", "least"), "rooted")
+    base = new_table_path(texts.sparkSession, "places")
+    place = sketched.select("part", "t_hi", "set_hi", "set_lo").distinct().join(rooted.select("set_hi", "set_lo", "node", "root", F.col("t_hi").alias("tag")), ["set_hi", "set_lo"])
+    place.select("part", "t_hi", "node", "root", "tag").repartition("part").write.partitionBy("part").parquet(base)
+    least = rooted.select(F.col("node").alias("q"), F.col("root").alias("q_root"), F.col("n").alias("q_n"), F.explode("least").alias("h"))
+    groups = _holders(texts, base, least.select("h")).groupBy("h").agg(F.min("root").alias("first"), F.max("root").alias("last"))
+    other = (F.col("first") != F.col("q_root")) | (F.col("last") != F.col("q_root"))
+    found = least.join(groups.filter("first <> last"), "h").filter(other).groupBy("q").agg(F.count("*").alias("found"), F.first("q_n").alias("q_n"))
+    enough = found.filter(F.col("found") >= F.when(F.col("q_n") <= LEAST, _needed("q_n")).otherwise(FOUND)).select("q")
+    some = materialize(rooted.select(F.col("node").alias("q"), F.col("root").alias("q_root"), F.col("n").alias("q_n"), "t_hi", "t_lo").join(enough, "q"), "askers")
+    asked = _whole_sets(texts, sketched, some.select("t_hi", "t_lo")).join(some, ["t_hi", "t_lo"]).select("q", "q_root", "q_n", "h")
+    asked = materialize(asked, "asked")
+    holders = materialize(_holders(texts, base, asked.select("h").distinct()).join(asked.select("h").distinct(), "h", "left_semi").distinct(), "holders")
+
+    # by size class, who holds a shingle: sets up to RATIO apart are of a set's own class or the next
+    by_class = holders.groupBy("h", _class("n").alias("c")).agg(F.count("*").alias("df"), F.min("root").alias("first"), F.max("root").alias("last"))
+    own = _class("q_n")
+    near_by = asked.withColumn("c", F.explode(F.array(own, own + 1))).join(by_class, ["h", "c"]).filter(other)
+    near_by = near_by.groupBy("q", "q_n", "q_root", "h").agg(F.sum("df").alias("df"))
+    fits = (F.col("n") >= F.col("q_n")) & (F.col("n") <= F.lit(RATIO) * F.col("q_n")) & (F.col("root") != F.col("q_root"))
+    met = _rarest(near_by, "df").join(asked.select("q", "q_root").distinct(), "q").join(holders, "h").filter(fits).select("q", "node").distinct()
+    links = materialize(_counted(met, asked, holders).select(F.col("q").alias("a"), F.col("node").alias("b")), "links")
+    if not absorb:
+        return links, links.limit(0)
+
+    # a group is asked for by its largest sets
+    top = rooted.groupBy(F.col("root").alias("q_root")).agg(F.max("n").alias("q_n"))
+    largest = asked.join(top, ["q_root", "q_n"], "left_semi")
+    who = F.struct("n", F.bitwise_not("tag").alias("tag"), "node", "root")
+    of_hash = holders.groupBy("h").agg(F.max(who).alias("top"), F.count("*").alias("df"))
+    above = largest.join(of_hash, "h").filter(F.col("top.n") > F.lit(RATIO) * F.col("q_n"))
+    wide = materialize(above.select("q", "q_root", "q_n", "h", "df", "top", F.count("*").over(Window.partitionBy("q")).alias("support")).filter(F.col("support") >= _needed("q_n")), "wide")
+    tried = wide.groupBy("q", "q_n", "q_root", "top").agg(F.count("*").alias("times")).groupBy("q", "q_n", "q_root").agg(F.max(F.struct("times", "top")).alias("best"))
+    pick_ = ["q", "q_n", "q_root", "node", "root", "n", "tag"]
+    first = materialize(_counted(tried.select("q", "q_n", "q_root", "best.top.node", "best.top.root", "best.top.n", "best.top.tag"), asked, holders).select(*pick_), "contained")
+    left = wide.join(first.select("q_root"), "q_root", "left_anti")
+    larger = _rarest(left.select("q", "q_n", "h", "df"), "df").join(left.select("q", "q_root").distinct(), "q").join(holders, "h").filter(F.col("n") > F.lit(RATIO) * F.col("q_n"))
+    second = _counted(larger.select("q", "q_n", "q_root", "node", "root", "n", F.bitwise_not("tag").alias("tag")).distinct(), asked, holders)
+    return links, materialize(first.unionByName(second.select(*pick_)).select(F.col("q_root").alias("root"), F.col("root").alias("into"), "n", "tag", "q_n"), "absorbed")
 
 
 def _flags(sketched: DataFrame, texts: DataFrame) -> DataFrame:
@@ -278,10 +350,10 @@ def _flags(sketched: DataFrame, texts: DataFrame) -> DataFrame:
     return sketched.select("part", "t_hi", "t_lo").join(wanted, ["t_hi", "t_lo"], "left").select("part", F.col("t_hi").alias("h"), "flag")
 
 
-def _verified(docs: DataFrame, sketched: DataFrame, nodes: DataFrame, pairs: DataFrame, max_ratio: float) -> DataFrame:
-    """The pairs (a, b) whose containment holds."""
-    many = F.count("*").over(Window.partitionBy("a"))
-    placed = pairs.withColumn("chunk", F.pmod(F.xxhash64("b"), F.lit(1) + F.floor(many / CHUNK_ROWS)).cast("int"))
+def _verified(docs: DataFrame, sketched: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that join."""
+    many = pairs.groupBy("a").agg(F.count("*").alias("many"))
+    placed = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.lit(1) + F.floor(F.col("many") / CHUNK_ROWS)).cast("int").alias("chunk"))
     wanted = placed.unionByName(placed.select("a", F.col("a").alias("b"), "chunk").distinct())
     asked = wanted.join(nodes.select(F.col("node").alias("b"), "t_hi", "t_lo"), "b")
     # only the texts of candidates leave their partitions, one of each
@@ -289,7 +361,7 @@ def _verified(docs: DataFrame, sketched: DataFrame, nodes: DataFrame, pairs: Dat
     texts = mine.groupBy("t_hi", "t_lo").agg(F.min("text").alias("text"))
     rows = asked.join(texts, ["t_hi", "t_lo"]).select("a", "chunk", "b", "text")
     ordered = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", (F.col("a") != F.col("b")))
-    return ordered.select("a", "b", "text").mapInArrow(_verify(max_ratio), "a bigint, b bigint")
+    return ordered.select("a", "b", "text").mapInArrow(_verify, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -309,8 +381,21 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def grouped(docs: DataFrame, max_ratio: float = math.inf) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, t_hi, t_lo, root, kept, n_rows) of every row in a group of two or more; and the sketches of all rows."""
+def _tops(absorbed: DataFrame) -> DataFrame:
+    """(root, top) of absorbed groups: the group that isn't absorbed at the end of the way. (root, into, n, tag): containers."""
+    best = F.max_by("into", F.struct("n", "tag"))
+    at = materialize(absorbed.groupBy("root").agg(best.alias("into")), "absorptions")
+    while True:
+        step = at.join(at.select(F.col("root").alias("into"), F.col("into").alias("next")), "into", "left")
+        step = materialize(step.select("root", F.coalesce("next", "into").alias("into"), F.col("next").isNotNull().alias("moved")), "absorptions")
+        if not step.filter("moved").take(1):
+            return step.select("root", F.col("into").alias("top"))
+        at = step.drop("moved")
+
+
+def grouped(docs: DataFrame, absorb: bool) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, t_hi, t_lo, root, top, kept) of every row in a group of two or more or in an absorbed one; and the sketches
+    of all rows. root is the row's group, top the one that stays for it, kept the doc_id that stays."""
     rows = pick(docs, doc_id="bigint", text="string").filter("text IS NOT NULL")
     rows = rows.withColumns({"t_hi": F.xxhash64("text"), "t_lo": F.xxhash64(F.lit(7), "text"), "part": F.spark_partition_id()})
     sketched = materialize(rows.mapInArrow(_sketch, SKETCHED), "sketches")
@@ -318,33 +403,46 @@ def grouped(docs: DataFrame, max_ratio: float = math.inf) -> tuple[DataFrame, Da
     nodes = sketched.groupBy("set_hi", "set_lo").agg(F.min_by(rest, F.struct("t_hi", "t_lo")).alias("r")).select("set_hi", "set_lo", "r.*")
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     texts = rows.select("t_hi", "t_lo", "part", "text")
-    filed = materialize(_filed(nodes), "filed")
-    edges = materialize(_verified(texts, sketched, nodes, materialize(_candidates(filed), "pairs"), max_ratio), "verified")
-    asked = _asked(texts, nodes, max_ratio)
-    edges = edges.unionByName(asked.filter("sure").select("a", "b"))
+    led = materialize(_led(nodes), "led")
+    nearest = led.groupBy("b").agg(F.min_by("a", F.struct("differ", "a")).alias("a")).select("a", "b")
+    edges = materialize(_verified(texts, sketched, nodes, nearest), "verified")
     joined = materialize(components(edges), "joined")
-    for end in ("a", "b"):
-        asked = asked.join(joined.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
-    asked = asked.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialize(_rest(filed, joined, BLOCK).unionByName(asked).distinct(), "rest")
-    roots = components(edges.unionByName(_verified(texts, sketched, nodes, rest, max_ratio)))
-    of_set = nodes.select("set_hi", "set_lo", "node").join(roots, "node", "left").select("set_hi", "set_lo", F.coalesce("root", "node").alias("root"))
-    member = sketched.select("doc_id", "t_hi", "t_lo", "set_hi", "set_lo").join(of_set, ["set_hi", "set_lo"]).drop("set_hi", "set_lo")
-    group = member.groupBy("root").agg(F.count("*").alias("n_rows"), F.min("doc_id").alias("kept")).filter("n_rows > 1")
-    return materialize(member.join(group, "root"), "groups"), sketched
+    links, absorbed = _asked(texts, sketched, nodes, joined, absorb)
+    more = _verified(texts, sketched, nodes, materialize(_apart(led, joined), "apart"))
+    roots = components(edges.unionByName(more).unionByName(links))
+    of_set = nodes.select("set_hi", "set_lo", "node").join(roots, "node", "left").select("set_hi", "set_lo", "node", F.coalesce("root", "node").alias("root"))
+    member = sketched.select("doc_id", "t_hi", "t_lo", "set_hi", "set_lo").join(of_set.drop("node"), ["set_hi", "set_lo"]).drop("set_hi", "set_lo")
+    group = member.groupBy("root").agg(F.count("*").alias("n_rows"), F.min("doc_id").alias("kept"))
+    if not absorb:
+        return materialize(member.join(group.filter("n_rows > 1"), "root").withColumn("top", F.col("root")).drop("n_rows"), "groups"), sketched
+    absorbed = _of_final_groups(absorbed, nodes, of_set)
+    group = materialize(group.join(_tops(absorbed), "root", "left").withColumn("top", F.coalesce("top", "root")), "tops")
+    kept = group.select(F.col("root").alias("top"), "kept")
+    touched = group.filter((F.col("n_rows") > 1) | (F.col("top") != F.col("root"))).select("root", "top").join(kept, "top")
+    return materialize(member.join(touched, "root"), "groups"), sketched
+
+
+def _of_final_groups(absorbed: DataFrame, nodes: DataFrame, of_set: DataFrame) -> DataFrame:
+    """Absorptions between the final groups, of those whose largest sets are still theirs."""
+    size = nodes.select("node", "n").join(of_set.select("node", F.col("root").alias("final")), "node")
+    most = size.groupBy("final").agg(F.max("n").alias("most"))
+    ends = of_set.select("node", F.col("root").alias("final"))
+    here = absorbed.join(ends.select(F.col("node").alias("root"), F.col("final").alias("from_")), "root").join(ends.select(F.col("node").alias("into"), F.col("final").alias("to")), "into")
+    here = here.join(most.select(F.col("final").alias("from_"), "most"), "from_").filter(F.col("most") == F.col("q_n"))
+    return here.filter("from_ <> to").select(F.col("from_").alias("root"), F.col("to").alias("into"), "n", "tag")
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, kept_doc_id) of each row that isn't kept."""
-    by_id = grouped(pinned(docs))[0].groupBy("root", "doc_id", "kept").agg(F.count("*").alias("n"))
-    lost = F.col("n") - F.when(F.col("doc_id").eqNullSafe(F.col("kept")), 1).otherwise(0)
-    return by_id.select("doc_id", F.col("kept").alias("kept_doc_id"), F.explode(F.array_repeat(F.lit(1), lost.cast("int"))).alias("one")).drop("one")
+    by_id = grouped(pinned(docs), True)[0].groupBy("root", "top", "doc_id", "kept").agg(F.count("*").alias("n"))
+    stays = (F.col("root") == F.col("top")) & F.col("doc_id").eqNullSafe(F.col("kept"))
+    return by_id.select("doc_id", F.col("kept").alias("kept_doc_id"), F.explode(F.array_repeat(F.lit(1), (F.col("n") - F.when(stays, 1).otherwise(0)).cast("int"))).alias("one")).drop("one")
 
 
-def keep_one(docs: DataFrame, max_ratio: float = math.inf) -> DataFrame:
-    """docs with one row of each group, of pairs with sizes up to max_ratio apart: the columns as they came."""
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group, none absorbed: the columns as they came."""
     docs = pinned(docs)
-    group, sketched = grouped(docs, max_ratio)
+    group, sketched = grouped(docs, False)
     rows, positions = with_picked(docs, doc_id="bigint", text="string")
     rows = rows.withColumns({"wl_hi": F.xxhash64("wl_text"), "wl_lo": F.xxhash64(F.lit(7), "wl_text"), "wl_part": F.spark_partition_id()})
     marked = rows.withColumn("wl_mark", F.when(F.col("wl_text").isNull(), CLEAR).otherwise(marker(_flags(sketched, group))("wl_hi", "wl_part")))
