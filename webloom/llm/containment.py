@@ -14,13 +14,14 @@ that set's group. So a short text that many long ones hold doesn't join these. S
    the next one's if its size allows partners there.
 3. In each bucket every node is paired with the bucket's leader, of four orders of precedence by turns; sketches and
    sizes drop most chance pairs. Of each node the pair of nearest sketches is verified: its texts are brought together
-   and containment is computed exactly from whole texts. That joins most of each group, and each text is sent once.
+   and containment is computed exactly from whole texts. That joins most of each group, and each text is sent once; then so
+   are the other pairs with ends in two groups.
 4. Towards larger partitions the Jaccard threshold of a containment falls so low that a band has one row: the MinHash
    values of the smaller set are looked up by themselves. A set's LEAST shingles of least hash are asked for in the whole
    sets of all nodes, by one aggregate over those that anyone asks for (a bitmap keeps most others from the shuffle), and
    counted where a node of another group holds them. Sets with too few of these are linked to no other group. Those left, a
    few, are asked for as a whole: a set goes on only if enough of all its shingles are held by sets of the right sizes
-   (these counts are exact); then the rarest of them, of which any link holds one, give its candidates, and the
+   (these counts are exact); then the rarest of them, of which any link holds MARKS, give its candidates, and the
    shared shingles are counted for each. Absorption needs one container, so the largest holder is tried first.
    So pairs are made where a link is likely and not for each that shares a passage.
 5. Components are found by large-star and small-star rounds, absorptions followed by pointer jumping.
@@ -56,6 +57,7 @@ RECALL = 0.93
 HASHES = 64
 SKETCH_SLACK = 3.5  # standard deviations of the sketch's estimate below the least similarity
 CHUNK_ROWS = 512
+MARKS = 5  # of the rarest shingles of a set, how many a candidate must hold
 LEAST = 16  # shingles of a set asked for in others
 FOUND = 7  # of these, how many others must hold: fewer come from a link once in 140 times at the least containment
 MAX_BITMAP = 1 << 29  # bits
@@ -285,12 +287,21 @@ def _whole_sets(texts: DataFrame, sketched: DataFrame, wanted: DataFrame) -> Dat
 
 
 def _rarest(asked: DataFrame, df: str) -> DataFrame:
-    """(q, h): of each set's shingles asked for, so many of the rarest that any set that shares enough holds one.
+    """(q, q_root, q_n, least, h): of each set's shingles asked for, so many of the rarest that any set that shares enough
+    of all holds at least so many of these.
 
-    asked: (q, q_n, h, df) of the shingles that are held at all; sets with fewer of these than they need go."""
+    asked: (q, q_root, q_n, h, df) of the shingles that are held at all; sets with fewer of these than they need go."""
     of_set = Window.partitionBy("q")
     ranked = asked.withColumns({"support": F.count("*").over(of_set), "rank": F.row_number().over(of_set.orderBy(df, "h"))})
-    return ranked.filter((F.col("support") >= _needed("q_n")) & (F.col("rank") <= F.col("support") - _needed("q_n") + 1)).select("q", "q_n", "h")
+    ranked = ranked.withColumn("least", F.least(F.lit(MARKS), _needed("q_n")))
+    fits = (F.col("support") >= _needed("q_n")) & (F.col("rank") <= F.col("support") - _needed("q_n") + F.col("least"))
+    return ranked.filter(fits).select("q", "q_root", "q_n", "least", "h")
+
+
+def _met(rarest: DataFrame, holders: DataFrame, fits: Column) -> DataFrame:
+    """(q, q_root, q_n, node, root, n, tag): pairs that share enough of the rarest shingles."""
+    pair = ["q", "q_root", "q_n", "node", "root", "n", "tag", "least"]
+    return rarest.join(holders, "h").filter(fits).groupBy(pair).agg(F.count("*").alias("times")).filter("times >= least").drop("times", "least")
 
 
 def _counted(pairs: DataFrame, asked: DataFrame, holders: DataFrame) -> DataFrame:
@@ -323,7 +334,7 @@ def _asked(texts: DataFrame, sketched: DataFrame, nodes: DataFrame, joined: Data
     near_by = asked.withColumn("c", F.explode(F.array(own, own + 1))).join(by_class, ["h", "c"]).filter(other)
     near_by = near_by.groupBy("q", "q_n", "q_root", "h").agg(F.sum("df").alias("df"))
     fits = (F.col("n") >= F.col("q_n")) & (F.col("n") <= F.lit(RATIO) * F.col("q_n")) & (F.col("root") != F.col("q_root"))
-    met = _rarest(near_by, "df").join(asked.select("q", "q_root").distinct(), "q").join(holders, "h").filter(fits).select("q", "node").distinct()
+    met = _met(_rarest(near_by, "df"), holders, fits)
     links = materialize(_counted(met, asked, holders).select(F.col("q").alias("a"), F.col("node").alias("b")), "links")
     if not absorb:
         return links, links.limit(0)
@@ -339,8 +350,8 @@ def _asked(texts: DataFrame, sketched: DataFrame, nodes: DataFrame, joined: Data
     pick_ = ["q", "q_n", "q_root", "node", "root", "n", "tag"]
     first = materialize(_counted(tried.select("q", "q_n", "q_root", "best.top.node", "best.top.root", "best.top.n", "best.top.tag"), asked, holders).select(*pick_), "contained")
     left = wide.join(first.select("q_root"), "q_root", "left_anti")
-    larger = _rarest(left.select("q", "q_n", "h", "df"), "df").join(left.select("q", "q_root").distinct(), "q").join(holders, "h").filter(F.col("n") > F.lit(RATIO) * F.col("q_n"))
-    second = _counted(larger.select("q", "q_n", "q_root", "node", "root", "n", F.bitwise_not("tag").alias("tag")).distinct(), asked, holders)
+    larger = _met(_rarest(left.select("q", "q_root", "q_n", "h", "df"), "df"), holders, F.col("n") > F.lit(RATIO) * F.col("q_n"))
+    second = _counted(larger.withColumn("tag", F.bitwise_not("tag")), asked, holders)
     return links, materialize(first.unionByName(second.select(*pick_)).select(F.col("q_root").alias("root"), F.col("root").alias("into"), "n", "tag", "q_n"), "absorbed")
 
 
@@ -406,10 +417,11 @@ def grouped(docs: DataFrame, absorb: bool) -> tuple[DataFrame, DataFrame]:
     led = materialize(_led(nodes), "led")
     nearest = led.groupBy("b").agg(F.min_by("a", F.struct("differ", "a")).alias("a")).select("a", "b")
     edges = materialize(_verified(texts, sketched, nodes, nearest), "verified")
+    apart = materialize(_apart(led, components(edges)), "apart")
+    edges = materialize(edges.unionByName(_verified(texts, sketched, nodes, apart)), "verified")
     joined = materialize(components(edges), "joined")
     links, absorbed = _asked(texts, sketched, nodes, joined, absorb)
-    more = _verified(texts, sketched, nodes, materialize(_apart(led, joined), "apart"))
-    roots = components(edges.unionByName(more).unionByName(links))
+    roots = components(edges.unionByName(links))
     of_set = nodes.select("set_hi", "set_lo", "node").join(roots, "node", "left").select("set_hi", "set_lo", "node", F.coalesce("root", "node").alias("root"))
     member = sketched.select("doc_id", "t_hi", "t_lo", "set_hi", "set_lo").join(of_set.drop("node"), ["set_hi", "set_lo"]).drop("set_hi", "set_lo")
     group = member.groupBy("root").agg(F.count("*").alias("n_rows"), F.min("doc_id").alias("kept"))
