@@ -19,11 +19,11 @@ that set's group. So a short text that many long ones hold doesn't join these. S
 4. Towards larger partitions the Jaccard threshold of a containment falls so low that a band has one row: the MinHash
    values of the smaller set are looked up by themselves. A set's LEAST shingles of least hash are asked for in the whole
    sets of all nodes, by one aggregate over those that anyone asks for (a bitmap keeps most others from the shuffle), and
-   counted where a node of another group holds them. Sets with too few of these are linked to no other group. Those left, a
-   few, are asked for as a whole: a set goes on only if enough of all its shingles are held by sets of the right sizes
-   (these counts are exact); then the rarest of them, of which any link holds MARKS, give its candidates, and the
-   shared shingles are counted for each. Absorption needs one container, so the largest holder is tried first.
-   So pairs are made where a link is likely and not for each that shares a passage.
+   counted where sets of other groups and of the right sizes hold them. Sets with too few of these are linked to no other
+   group. Those left, a few, ask for MORE, which are counted in the same way; then the rarest of them, of which a link
+   holds MARKS, give candidates, and those that share ENOUGH are verified from whole texts. Absorption needs one
+   container, so the largest holder is tried first. So pairs are made where a link is likely and not for each that shares
+   a passage.
 5. Components are found by large-star and small-star rounds, absorptions followed by pointer jumping.
 
 Nulls: a null text, and one without words, is near nothing; its row stays. A text of fewer than SHINGLE words is a
@@ -35,7 +35,7 @@ names, are ignored. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -58,8 +58,8 @@ HASHES = 64
 SKETCH_SLACK = 3.5  # standard deviations of the sketch's estimate below the least similarity
 CHUNK_ROWS = 512
 MARKS = 5  # of the rarest shingles of a set, how many a candidate must hold
-LEAST = 16  # shingles of a set asked for in others
-FOUND = 7  # of these, how many others must hold: fewer come from a link once in 140 times at the least containment
+LEAST, FOUND = 16, 7  # shingles of a set asked for in others; how many others must hold (a link at the least containment misses it once in 140 times)
+MORE, ENOUGH = 48, 24  # the same of the sets left (once in 1000 times)
 MAX_BITMAP = 1 << 29  # bits
 
 _seeds = np.random.default_rng(20)
@@ -171,22 +171,25 @@ def joins(a: np.ndarray, b: np.ndarray) -> bool:
     return max(len(a), len(b)) <= RATIO * min(len(a), len(b)) and near(a, b)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (a, chunk), the leader's own text first."""
-    leader, held = None, None
-    for batch in batches:
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        texts = batch.column("text")
-        left, right = [], []
-        for i, j in chunks(texts):
-            for x, y, s in zip(a[i:j], b[i:j], shingle_sets(texts.slice(i, j - i), SHINGLE)):
-                if x == y:
-                    leader, held = x, s
-                elif leader == x and joins(held, s):
-                    left.append(x)
-                    right.append(y)
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+def _verify(holds: Callable[[np.ndarray, np.ndarray], bool]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (a, chunk), the leader's own text first."""
+        leader, held = None, None
+        for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            texts = batch.column("text")
+            left, right = [], []
+            for i, j in chunks(texts):
+                for x, y, s in zip(a[i:j], b[i:j], shingle_sets(texts.slice(i, j - i), SHINGLE)):
+                    if x == y:
+                        leader, held = x, s
+                    elif leader == x and holds(held, s):
+                        left.append(x)
+                        right.append(y)
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    return run
 
 
 def _led(nodes: DataFrame) -> DataFrame:
@@ -262,23 +265,23 @@ def _holders(texts: DataFrame, base: str, hashes: DataFrame) -> DataFrame:
     return texts.select("part", "t_hi", "text").mapInArrow(run, HOLDERS)
 
 
-def _needed(n: str) -> Column:
-    """How many shingles a set of n must share."""
-    return F.ceil(CONTAINMENT * F.col(n) - 1e-9)
+def _needed(n: str, sample: int, enough: int) -> Column:
+    """How many of the shingles asked for a link must hold, of a set of n."""
+    return F.when(F.col(n) <= sample, F.ceil(CONTAINMENT * F.col(n) - 1e-9)).otherwise(enough)
 
 
 def _class(n: str) -> Column:
     return F.length(F.bin(n)) - 1
 
 
-def _whole_sets(texts: DataFrame, sketched: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(t_hi, t_lo, h): every shingle of the wanted texts."""
+def _more(texts: DataFrame, sketched: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(t_hi, t_lo, h): the MORE shingles of least hash of the wanted texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column("text")
             for i, j in chunks(text):
-                sets = shingle_sets(text.slice(i, j - i), SHINGLE)
+                sets = [x[:MORE] for x in shingle_sets(text.slice(i, j - i), SHINGLE)]
                 row = pa.array(np.repeat(np.arange(i, j), [len(x) for x in sets]))
                 yield pa.RecordBatch.from_arrays([batch.column("t_hi").take(row), batch.column("t_lo").take(row), pa.array(np.concatenate(sets).view(np.int64))], ["t_hi", "t_lo", "h"])
 
@@ -292,9 +295,10 @@ def _rarest(asked: DataFrame, df: str) -> DataFrame:
 
     asked: (q, q_root, q_n, h, df) of the shingles that are held at all; sets with fewer of these than they need go."""
     of_set = Window.partitionBy("q")
-    ranked = asked.withColumns({"support": F.count("*").over(of_set), "rank": F.row_number().over(of_set.orderBy(df, "h"))})
-    ranked = ranked.withColumn("least", F.least(F.lit(MARKS), _needed("q_n")))
-    fits = (F.col("support") >= _needed("q_n")) & (F.col("rank") <= F.col("support") - _needed("q_n") + F.col("least"))
+    need = _needed("q_n", MORE, ENOUGH)
+    ranked = asked.withColumns({"support": F.count("*").over(of_set), "rank": F.row_number().over(of_set.orderBy(df, "h")), "need": need})
+    ranked = ranked.withColumn("least", F.least(F.lit(MARKS), "need"))
+    fits = (F.col("support") >= F.col("need")) & (F.col("rank") <= F.col("support") - F.col("need") + F.col("least"))
     return ranked.filter(fits).select("q", "q_root", "q_n", "least", "h")
 
 
@@ -305,9 +309,9 @@ def _met(rarest: DataFrame, holders: DataFrame, fits: Column) -> DataFrame:
 
 
 def _counted(pairs: DataFrame, asked: DataFrame, holders: DataFrame) -> DataFrame:
-    """The pairs (q, node, ...) of which the second holds enough of the first's shingles, by exact counts."""
+    """The pairs (q, node, ...) of which the second holds enough of the shingles asked for by the first."""
     met = pairs.select("q", "node").join(asked.select("q", "q_n", "h"), "q").join(holders.select("h", "node"), ["h", "node"])
-    enough = met.groupBy("q", "node").agg(F.count("*").alias("times"), F.first("q_n").alias("q_n")).filter(F.col("times") >= _needed("q_n"))
+    enough = met.groupBy("q", "node").agg(F.count("*").alias("times"), F.first("q_n").alias("q_n")).filter(F.col("times") >= _needed("q_n", MORE, ENOUGH))
     return pairs.join(enough.select("q", "node"), ["q", "node"])
 
 
@@ -318,41 +322,50 @@ def _asked(texts: DataFrame, sketched: DataFrame, nodes: DataFrame, joined: Data
     base = new_table_path(texts.sparkSession, "places")
     place = sketched.select("part", "t_hi", "set_hi", "set_lo").distinct().join(rooted.select("set_hi", "set_lo", "node", "root", F.col("t_hi").alias("tag")), ["set_hi", "set_lo"])
     place.select("part", "t_hi", "node", "root", "tag").repartition("part").write.partitionBy("part").parquet(base)
-    least = rooted.select(F.col("node").alias("q"), F.col("root").alias("q_root"), F.col("n").alias("q_n"), F.explode("least").alias("h"))
-    groups = _holders(texts, base, least.select("h")).groupBy("h").agg(F.min("root").alias("first"), F.max("root").alias("last"))
+    # a group is asked for in larger sets by its largest ones
+    top = rooted.groupBy("root").agg(F.max("n").alias("most"))
+    rooted = rooted.join(top, "root").withColumn("largest", F.lit(absorb) & (F.col("n") == F.col("most"))).drop("most")
+    of_q = [F.col("node").alias("q"), F.col("root").alias("q_root"), F.col("n").alias("q_n"), "largest"]
+    least = rooted.select(*of_q, F.explode("least").alias("h"))
+    by_class = _holders(texts, base, least.select("h")).groupBy("h", _class("n").alias("c")).agg(F.min("root").alias("first"), F.max("root").alias("last"), F.max("n").alias("most"))
     other = (F.col("first") != F.col("q_root")) | (F.col("last") != F.col("q_root"))
-    found = least.join(groups.filter("first <> last"), "h").filter(other).groupBy("q").agg(F.count("*").alias("found"), F.first("q_n").alias("q_n"))
-    enough = found.filter(F.col("found") >= F.when(F.col("q_n") <= LEAST, _needed("q_n")).otherwise(FOUND)).select("q")
-    some = materialize(rooted.select(F.col("node").alias("q"), F.col("root").alias("q_root"), F.col("n").alias("q_n"), "t_hi", "t_lo").join(enough, "q"), "askers")
-    asked = _whole_sets(texts, sketched, some.select("t_hi", "t_lo")).join(some, ["t_hi", "t_lo"]).select("q", "q_root", "q_n", "h")
+    # sets up to RATIO apart are of a set's own class or the next
+    near_by = other & F.col("c").between(_class("q_n"), _class("q_n") + 1)
+    above = F.col("largest") & (F.col("most") > F.lit(RATIO) * F.col("q_n"))
+    found = least.join(by_class, "h").groupBy("q", "h").agg(F.first("q_n").alias("q_n"), F.max(near_by).alias("near_by"), F.max(above).alias("above"))
+    found = found.groupBy("q").agg(F.first("q_n").alias("q_n"), F.count_if("near_by").alias("near_by"), F.count_if("above").alias("above"))
+    enough = found.filter(F.greatest("near_by", "above") >= _needed("q_n", LEAST, FOUND)).select("q")
+    some = materialize(rooted.select(*of_q, "t_hi", "t_lo").join(enough, "q"), "askers")
+    asked = _more(texts, sketched, some.select("t_hi", "t_lo")).join(some, ["t_hi", "t_lo"]).select("q", "q_root", "q_n", "largest", "h")
     asked = materialize(asked, "asked")
     holders = materialize(_holders(texts, base, asked.select("h").distinct()).join(asked.select("h").distinct(), "h", "left_semi").distinct(), "holders")
 
-    # by size class, who holds a shingle: sets up to RATIO apart are of a set's own class or the next
     by_class = holders.groupBy("h", _class("n").alias("c")).agg(F.count("*").alias("df"), F.min("root").alias("first"), F.max("root").alias("last"))
-    own = _class("q_n")
-    near_by = asked.withColumn("c", F.explode(F.array(own, own + 1))).join(by_class, ["h", "c"]).filter(other)
-    near_by = near_by.groupBy("q", "q_n", "q_root", "h").agg(F.sum("df").alias("df"))
+    held = asked.join(by_class, "h").filter(near_by).groupBy("q", "q_n", "q_root", "h").agg(F.sum("df").alias("df"))
     fits = (F.col("n") >= F.col("q_n")) & (F.col("n") <= F.lit(RATIO) * F.col("q_n")) & (F.col("root") != F.col("q_root"))
-    met = _met(_rarest(near_by, "df"), holders, fits)
-    links = materialize(_counted(met, asked, holders).select(F.col("q").alias("a"), F.col("node").alias("b")), "links")
+    met = _met(_rarest(held, "df"), holders, fits)
+    links = materialize(_counted(met, asked, holders).select(F.col("q").alias("a"), F.col("node").alias("b")), "likely")
+    links = materialize(_verified(texts, sketched, nodes, links), "links")
     if not absorb:
         return links, links.limit(0)
 
-    # a group is asked for by its largest sets
-    top = rooted.groupBy(F.col("root").alias("q_root")).agg(F.max("n").alias("q_n"))
-    largest = asked.join(top, ["q_root", "q_n"], "left_semi")
     who = F.struct("n", F.bitwise_not("tag").alias("tag"), "node", "root")
     of_hash = holders.groupBy("h").agg(F.max(who).alias("top"), F.count("*").alias("df"))
-    above = largest.join(of_hash, "h").filter(F.col("top.n") > F.lit(RATIO) * F.col("q_n"))
-    wide = materialize(above.select("q", "q_root", "q_n", "h", "df", "top", F.count("*").over(Window.partitionBy("q")).alias("support")).filter(F.col("support") >= _needed("q_n")), "wide")
+    above = asked.filter("largest").join(of_hash, "h").filter(F.col("top.n") > F.lit(RATIO) * F.col("q_n"))
+    wide = materialize(above.select("q", "q_root", "q_n", "h", "df", "top", F.count("*").over(Window.partitionBy("q")).alias("support")).filter(F.col("support") >= _needed("q_n", MORE, ENOUGH)), "wide")
     tried = wide.groupBy("q", "q_n", "q_root", "top").agg(F.count("*").alias("times")).groupBy("q", "q_n", "q_root").agg(F.max(F.struct("times", "top")).alias("best"))
     pick_ = ["q", "q_n", "q_root", "node", "root", "n", "tag"]
-    first = materialize(_counted(tried.select("q", "q_n", "q_root", "best.top.node", "best.top.root", "best.top.n", "best.top.tag"), asked, holders).select(*pick_), "contained")
+
+    def contained(pairs: DataFrame) -> DataFrame:
+        likely = materialize(_counted(pairs, asked, holders).select(*pick_), "likely")
+        sure = _verified(texts, sketched, nodes, likely.select(F.col("node").alias("a"), F.col("q").alias("b")), near)
+        return materialize(likely.join(sure.select(F.col("a").alias("node"), F.col("b").alias("q")), ["q", "node"]).select(*pick_), "contained")
+
+    first = contained(tried.select("q", "q_n", "q_root", "best.top.node", "best.top.root", "best.top.n", "best.top.tag"))
     left = wide.join(first.select("q_root"), "q_root", "left_anti")
     larger = _met(_rarest(left.select("q", "q_root", "q_n", "h", "df"), "df"), holders, F.col("n") > F.lit(RATIO) * F.col("q_n"))
-    second = _counted(larger.withColumn("tag", F.bitwise_not("tag")), asked, holders)
-    return links, materialize(first.unionByName(second.select(*pick_)).select(F.col("q_root").alias("root"), F.col("root").alias("into"), "n", "tag", "q_n"), "absorbed")
+    second = contained(larger.withColumn("tag", F.bitwise_not("tag")))
+    return links, first.unionByName(second).select(F.col("q_root").alias("root"), F.col("root").alias("into"), "n", "tag", "q_n")
 
 
 def _flags(sketched: DataFrame, texts: DataFrame) -> DataFrame:
@@ -361,8 +374,8 @@ def _flags(sketched: DataFrame, texts: DataFrame) -> DataFrame:
     return sketched.select("part", "t_hi", "t_lo").join(wanted, ["t_hi", "t_lo"], "left").select("part", F.col("t_hi").alias("h"), "flag")
 
 
-def _verified(docs: DataFrame, sketched: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that join."""
+def _verified(docs: DataFrame, sketched: DataFrame, nodes: DataFrame, pairs: DataFrame, holds=joins) -> DataFrame:
+    """The pairs (a, b) of which that holds."""
     many = pairs.groupBy("a").agg(F.count("*").alias("many"))
     placed = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.lit(1) + F.floor(F.col("many") / CHUNK_ROWS)).cast("int").alias("chunk"))
     wanted = placed.unionByName(placed.select("a", F.col("a").alias("b"), "chunk").distinct())
@@ -372,7 +385,7 @@ def _verified(docs: DataFrame, sketched: DataFrame, nodes: DataFrame, pairs: Dat
     texts = mine.groupBy("t_hi", "t_lo").agg(F.min("text").alias("text"))
     rows = asked.join(texts, ["t_hi", "t_lo"]).select("a", "chunk", "b", "text")
     ordered = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", (F.col("a") != F.col("b")))
-    return ordered.select("a", "b", "text").mapInArrow(_verify, "a bigint, b bigint")
+    return ordered.select("a", "b", "text").mapInArrow(_verify(holds), "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
