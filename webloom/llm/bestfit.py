@@ -2,13 +2,15 @@
 
 Round 0 packs each partition of the scan by itself, best fit over decreasing sizes. Bins filled to CLOSE_AT of the
 capacity are final. The others go on as items of their fill, with their members, to the next round, where the bins of
-FAN_IN neighbouring partitions are packed together; and so on up the tree until one group is left, or until a
-merged group could hold more than MAX_GROUP bins, when what is left is final as it is. Only underfull bins are ever
-shuffled, and they hold ids and counts, not texts. Each round is written to the shared folder.
+FAN_IN neighbouring partitions are packed together; and so on up the tree to its root, where what is left is final. A
+group of more than MAX_GROUP bins is dealt by hash into slices of about that many, which have the same mix of fills and
+are packed side by side; at the root as well, so that bins of all partitions meet whatever their number. Only underfull
+bins are ever shuffled, and they hold ids and counts, not texts. Each round is written to the shared folder.
 
 A document longer than the capacity fills bins of its own with its full pieces; the rest of it is an item. Every token
 of every text is in exactly one bin. A text without tokens (null, empty, white space) is in none. Equal or repeated
-rows are separate items. An empty table gives an empty result.
+rows are separate items; equal fills are taken in order of place. Other columns, whatever their names, are ignored. An
+empty table gives an empty result.
 
 Tokens are runs of characters other than white space unless a column of counts is named.
 """
@@ -31,7 +33,7 @@ from ._cols import pick
 CAPACITY = 2048
 CLOSE_AT = 0.98
 FAN_IN = 16
-MAX_GROUP = 4_000_000
+MAX_GROUP = 1_000_000
 
 MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int32())])
 BINS = pa.schema([("round", pa.int32()), ("part", pa.int64()), ("seq", pa.int32()), ("fill", pa.int32()), ("closed", pa.bool_()), ("members", pa.list_(MEMBER))])
@@ -120,23 +122,25 @@ def _merge(round_: int, capacity: int, last: bool):
     return run
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokens: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokens: str | None = None, max_group: int = MAX_GROUP) -> DataFrame:
     """(bin_id, n_tokens, members) of each bin; members in order, each (doc_id, piece, start, n_tokens)."""
     if tokens:
         items = pick(docs, doc_id="bigint", **{tokens: "bigint"}).withColumnRenamed(tokens, "n")
     else:
         items = pick(docs, doc_id="bigint", text="string").select("doc_id", F.regexp_count("text", F.lit(r"\S+")).cast("bigint").alias("n"))
     bins = materialize(items.filter("n > 0").mapInArrow(_local(capacity), DDL), "pack0")
-    done, round_ = bins.filter("closed"), 0
+    done, round_, width = bins.filter("closed"), 0, 1  # width: part numbers of a group
     left = bins.filter("NOT closed")
     while True:
-        parts, most = left.agg(F.coalesce(F.max("part"), F.lit(-1)) + 1, F.count("*")).first()
-        last = parts <= FAN_IN
-        if not most or (round_ and parts <= 1) or most * FAN_IN > MAX_GROUP * max(parts, 1):
+        parts = left.agg(F.coalesce(F.floor(F.max("part") / width), F.lit(-1)) + 1).first()[0]
+        if not parts or (round_ and parts <= 1):
             break
-        round_ += 1
-        grouped = left.withColumn("group", F.floor(F.col("part") / FAN_IN).cast("bigint"))
-        bins = materialize(grouped.groupBy("group").applyInArrow(_merge(round_, capacity, last), DDL), f"pack{round_}")
+        last, round_ = parts <= FAN_IN, round_ + 1
+        grouped = left.withColumn("group", F.floor(F.col("part") / (FAN_IN * width)).cast("bigint"))
+        most = grouped.groupBy("group").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        width = -(-most // max_group)
+        dealt = grouped.withColumn("group", F.col("group") * width + F.pmod(F.xxhash64("part", "seq"), F.lit(width)))
+        bins = materialize(dealt.groupBy("group").applyInArrow(_merge(round_, capacity, last), DDL), f"pack{round_}")
         done = done.unionByName(bins.filter("closed"))
         left = bins.filter("NOT closed")
     key = F.shiftleft(F.col("round").cast("bigint"), 58) + F.shiftleft(F.col("part"), 31) + F.col("seq")
