@@ -2,7 +2,7 @@
 
 1. Every partition sorts the fingerprints of its texts and sends each owner (a range of the fingerprint space) its
    share as one Golomb-Rice coded blob.
-2. An owner decodes its blobs and answers each partition with a bitmap over the partition's sorted fingerprints: set
+2. There are as many owners as shuffle partitions, and more where an owner would get over OWNER_ROWS rows. An owner decodes its blobs and answers each partition with a bitmap over the partition's sorted fingerprints: set
    where the fingerprint occurs more than once over all partitions.
 3. Each partition reads the answer to it from the shared folder; rows with a set bit are suspects. Only suspects are
    shuffled, and equal bytes, not equal fingerprints, decide.
@@ -12,7 +12,9 @@ changes a result. Input that is more than a scan of files is written to the shar
 find the same rows in the same partitions.
 
 Nulls: a null text is equal to nothing and its row is kept. Empty texts are equal to each other. Of equal texts the row
-with the least doc_id stays, nulls last; of rows equal in text and doc_id one stays. An empty table gives an empty one.
+with the least doc_id stays, nulls last; of rows equal in text and doc_id one stays. Texts of any
+length are compared whole. Other columns, whatever their names, are kept or ignored as they are. An empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from ._aligned import by_part, pinned
 from ._cols import pick, restore, with_picked
 
 FP_BITS = 48
-OWNERS_PER_SHUFFLE_PARTITION = 1
+OWNER_ROWS = 8_000_000  # the most fingerprints of an owner, on average
 
 SQL = """
 WITH r AS (
@@ -141,9 +143,9 @@ def _has(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
 
 
-def suspicion(spark: SparkSession, fps: DataFrame):
+def suspicion(spark: SparkSession, fps: DataFrame, n_rows: int):
     """Runs the exchange over (fp, part); a function of these columns then says whether a row is a suspect."""
-    owners = max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * OWNERS_PER_SHUFFLE_PARTITION
+    owners = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // OWNER_ROWS))
     base = new_table_path(spark, "answers")
     (
         fps.mapInArrow(_send(owners), "part int, owner int, blob binary")
@@ -167,7 +169,7 @@ def duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, kept_doc_id) of each row that isn't kept."""
     spark, docs = docs.sparkSession, pinned(docs)
     rows = pick(docs, doc_id="bigint", text="string").filter("text IS NOT NULL").withColumns({"fp": fingerprint(F.col("text")), "part": F.spark_partition_id()})
-    suspects = rows.filter(suspicion(spark, rows.select("fp", "part"))("fp", "part"))
+    suspects = rows.filter(suspicion(spark, rows.select("fp", "part"), docs.count())("fp", "part"))
     by_id = suspects.groupBy("fp", "text", "doc_id").agg(F.count("*").alias("n"))
     kept = by_id.groupBy("fp", "text").agg(F.min("doc_id").alias("kept_doc_id"), F.sum("n").alias("rows")).filter("rows > 1")
     lost = F.col("n") - F.when(F.col("doc_id").eqNullSafe(F.col("kept_doc_id")), 1).otherwise(0)
@@ -179,7 +181,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     spark, docs = docs.sparkSession, pinned(docs)
     rows, positions = with_picked(docs, doc_id="bigint", text="string")
     rows = rows.withColumns({"wl_fp": fingerprint(F.col("wl_text")), "wl_part": F.spark_partition_id()})
-    suspect = suspicion(spark, rows.filter("wl_text IS NOT NULL").select(F.col("wl_fp").alias("fp"), F.col("wl_part").alias("part")))
+    suspect = suspicion(spark, rows.filter("wl_text IS NOT NULL").select(F.col("wl_fp").alias("fp"), F.col("wl_part").alias("part")), docs.count())
     marked = rows.withColumn("wl_suspect", F.col("wl_text").isNotNull() & suspect("wl_fp", "wl_part"))
     alone = marked.filter("NOT wl_suspect").select(*positions)
     whole = F.struct(*positions)
