@@ -294,3 +294,63 @@ def test_every_label_is_a_language(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     assert {r.doc_id: r.lang for r in ppm_langid.identify(df).collect()} == {i: lang for i, _, lang in rows}
     assert ppm_langid.keep_accepted(df).count() == len(rows)
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, '<a href="' * 120_000, "<a \">\" " * 150_000, "<!" * 500_000, "<p><div>" + "<span>" * 60_000 + "<h1></h1>" * 60_000, "<a<b" * 250_000 + ">", "< " * 500_000, "<li><ul>" * 60_000])
+def test_pages_take_time_in_proportion(page):
+    from time import perf_counter
+
+    began = perf_counter()
+    html_density.extract(page)
+    assert perf_counter() - began < 6
+
+
+def brute_content(page):
+    """Content nodes by recursion over the definition in the module's docstring."""
+    n = len(page.tag)
+    kids = [[j for j in range(1, n) if page.parent[j] == i] for i in range(n)]
+
+    def under(i):
+        return [i] + [x for k in kids[i] for x in under(k)]
+
+    sums = [sum(page.density[k] for k in kids[i]) for i in range(n)]
+    if max(sums[1:], default=0) <= 0:
+        return set(range(n))
+    sums[0] = 0.0
+    at = top = max(range(n), key=lambda i: (sums[i], -i))
+    path = [at]
+    while at:
+        at = page.parent[at]
+        path.append(at)
+    threshold = min(page.density[i] for i in path)
+    chosen = set()
+
+    def down(i):
+        if page.density[i] < threshold - 1e-9:
+            return
+        best = max(under(i), key=lambda x: (sums[x], -x))
+        if sums[best] > 0:
+            chosen.update(under(best))
+        for k in kids[i]:
+            down(k)
+
+    down(0)
+    assert top in chosen
+    return chosen
+
+
+def test_content_equals_brute_force(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        page = html_density.Page(r.html)
+        page.measure()
+        sums = list(page.sums)
+        got, best = page.content()
+        assert got == brute_content(page) and best == max(sums[1:], default=0)
+
+
+def test_large_groups_are_packed_in_slices(spark):
+    """A group that is dealt into slices gives as good bins as a whole one, up to the root."""
+    df = spark.range(0, 4000, 1, 40).selectExpr("id AS doc_id", "20 + pmod(xxhash64(id), 60) AS n")
+    bins = bestfit.pack_documents(df, 100, "n", max_group=300).collect()
+    assert sorted(m.doc_id for b in bins for m in b.members) == list(range(4000)) and all(sum(m.n_tokens for m in b.members) == b.n_tokens <= 100 for b in bins)
+    assert len({b.bin_id for b in bins}) == len(bins) <= 1.02 * bestfit.pack_documents(df, 100, "n").count()

@@ -80,6 +80,8 @@ def test_count_tokens(spark, library, make):
     got = token_scan.count_tokens(token_scan.write_tokens(df), block_tokens=50)
     want = sorted(len(library.encode_ordinary(r[1])) for r in df.collect() if r[1] is not None)
     assert sorted(r.n_tokens for r in got.collect()) == want
+    by_id = sorted(((r["doc_id"], len(library.encode_ordinary(r[1]))) for r in df.collect() if r[1] is not None), key=repr)
+    assert util.rows(token_scan.counts(df).select("doc_id", "n_tokens")) == by_id
 
 
 @pytest.mark.parametrize("block", [1, 2, 3, 7, 100])
@@ -89,7 +91,7 @@ def test_stitching(spark, tmp_path, block):
     for k, ids in files.items():
         path = tmp_path / f"{k}.bin"
         np.array(ids, "<u2").tofile(path)
-        rows.append((k, f"file://{path}", len(ids)))
+        rows.append((k, f"file://{path}", len(ids), None))
         start, doc = 0, 0
         for at, x in enumerate(ids):
             if x == 9:
@@ -99,3 +101,11 @@ def test_stitching(spark, tmp_path, block):
             want.append((k, doc, start, len(ids) - start))
     got = token_scan.count_tokens(spark.createDataFrame(rows, token_scan.FILES), 9, block)
     assert util.rows(got) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("size", [5, 7, 8, 12])
+def test_files_of_another_size_are_errors(spark, tmp_path, size):
+    path = tmp_path / "x.bin"
+    path.write_bytes(b"\1" * size)
+    with pytest.raises(Exception, match="bytes instead of 6"):
+        token_scan.count_tokens(spark.createDataFrame([(0, f"file://{path}", 3, None)], token_scan.FILES), 9, 2).collect()
