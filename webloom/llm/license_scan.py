@@ -1,21 +1,26 @@
 """Licence scan: a trained paragraph classifier whose finds are confirmed by template comparison.
 
-A paragraph is a line. Its features are the words and word pairs that also occur in a template, present or not.
-A multinomial logistic regression tells the licence families and "none" apart. It is trained on the driver from the
-templates, each in many variants (words left out, put in, cut off), and on up to NONE_ROWS paragraphs of up to NONE_DOCS
-documents of the corpus, those of the least hashes, without words that licences use: a bounded sample. A temperature is
-fitted on held-out variants, and so is the probability under which a family is "unknown": it lets pass KEEP of the
-held-out variants' right predictions, and is set anew with each family left out in turn so that most paragraphs of a
-family that training never saw fall below it.
+A paragraph is a line, as corpora keep licence notices in lines of their own and licence texts come wrapped. Its features
+are the words and word pairs that also occur in a template, present or not. A multinomial logistic regression tells the
+licence families and "none" apart. It is trained on the driver from the templates, each in many variants (words left
+out, put in, cut off; of whole licence texts, runs of a line's length), from sentences that use licences' words for
+something else, and from up to NONE_ROWS paragraphs without such words, of the NONE_DOCS distinct rows of least hash of
+the corpus with up to NONE_BYTES bytes each: a bounded sample.
 
-A paragraph whose likeliest class is a family is a find. It is confirmed if the probability is high enough and a template
-of that family shares at least SIMILAR of the word pairs of the shorter of the two, and has the family as "unknown"
-otherwise. All paragraphs of all texts are scored; as features outside the templates weigh nothing, only paragraphs
-with at least one feature need sums, and the others are "none" by the intercept.
+Calibration is by templates that training didn't see: in FOLDS fits each leaves out every FOLDSth template, and in another
+each leaves out a family. A temperature is fitted on the first. The probability under which a family is "unknown" is the
+one that errs least on both: right predictions below it, and those of families never seen at or above it.
 
-Nulls: a null or empty text has no paragraphs and no finds. Equal paragraphs are found as often as they occur. Without
-any corpus paragraph to learn from, "none" is learnt from templates' shuffled words alone. An empty table gives an empty
-result.
+A paragraph whose likeliest class is a family is a find. It is confirmed if the probability is high enough and a template
+of that family is similar, and has the family "unknown" otherwise. Similarity is the share of the paragraph's word pairs
+that the template has, or the share of the template's pairs that the paragraph has where these are LONG or more; at least
+three pairs are shared, or all of the template's. All paragraphs of all texts are scored; as features outside the
+templates weigh nothing, only paragraphs with at least one feature need sums, and the others are "none" by the intercept.
+
+Nulls: a null or empty text has no paragraphs and no finds. Equal paragraphs are found as often as they occur, and rows
+as often as they are repeated. Of equally likely families the first in TEMPLATES wins. Very long texts are split in whole.
+Without any corpus paragraph to learn from, "none" is learnt from the other sentences and templates' shuffled words alone.
+Other columns, whatever their names, are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,9 +42,12 @@ from ._text import U64, chunks, mix, words
 
 NONE_DOCS = 600
 NONE_ROWS = 3000
-VARIANTS = 25
-KEEP = 0.98
+NONE_BYTES = 1 << 16
+VARIANTS = 15
+FRAGMENTS = 60  # variants of a whole licence text
+FOLDS = 4
 SIMILAR = 0.6
+LONG = 5
 
 TEMPLATES: dict[str, list[str]] = {
     "Apache-2.0": [
@@ -107,6 +115,57 @@ TEMPLATES: dict[str, list[str]] = {
         "No part of this publication may be reproduced without prior written permission.",
     ],
 }
+#: Whole notices and texts.
+TEXTS: dict[str, list[str]] = {
+    "Apache-2.0": [
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+        http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+        WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+    ],
+    "MIT": [
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without
+        restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
+        Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+        Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR
+        PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+        ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+    ],
+    "BSD": [
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain
+        the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+        following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to
+        endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS
+        OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR
+        CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR
+        TORT ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+    ],
+    "GPL": [
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of
+        the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+        MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this
+        program. If not, see http://www.gnu.org/licenses"""
+    ],
+    "LGPL": [
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either
+        version 2.1 of the License, or (at your option) any later version. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public
+        License along with this library."""
+    ],
+    "MPL-2.0": [
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at
+        http://mozilla.org/MPL/2.0"""
+    ],
+}
+#: Lines that use licences' words for something else.
+OTHERWISE = [
+    "All rights reserved by the hotel to refuse entry.", "The owner reserved the right to refuse anyone.", "He lost his driving licence after the accident.", "A fishing license costs ten dollars in this state.",
+    "Permission to land was granted by the tower.", "She asked for permission to leave the room early.", "The copyright dispute between the two authors went to court.", "Copies of the notice were hung in all offices of the company.",
+    "The software was sold to a company in the north.", "The general public was not allowed into the library.", "The program is free for all visitors under twelve.", "Researchers at MIT published a study about sleep.",
+    "The Apache helicopter is used by several countries.", "The creative commons room is open to all students.", "Use of the gym is permitted with or without a trainer.", "The conditions of the work were harsh and the pay was low.",
+    "This work is under way and will be finished in spring.", "The distribution of food was organised by the city.", "The files and documentation are kept in the archive.", "No warranty is given on used cars of any kind.",
+    "Any person obtaining a ticket may bring a friend.", "The bar lost its license to sell alcohol.", "The terms of the contract were published in the paper.", "The foundation was established to support young artists.",
+    "The public domain of the king included the forest.", "The law limits the liability of the seller for damages.", "Their source of income is a small library in the village.", "Modification of the building requires a permit.",
+    "The author has waived the fee for schools.", "The international conference released its version of events.", "Patents, copyrights and licenses are taught in the second year.", "The licensed driver must be with the learner at all times.",
+]
 NONE = "none"
 CUE = re.compile(r"(?i:licen[cs]e|copyright|rights reserved|spdx|\bgpl\b|apache|creative commons|permission|redistribut)|\bMIT\b")
 FOUND = "doc_id bigint, paragraph int, family string, predicted string, probability double, similarity double"
@@ -161,9 +220,12 @@ class Model:
     def similarity(self, line: pa.Array, family: int) -> float:
         _, f, pair = features(line)
         mine = np.unique(f[pair])
-        if not len(mine):
-            return 0.0
-        return max((np.isin(t, mine).sum() / min(len(t), len(mine)) for c, t in self.pairs if c == family), default=0.0)
+        best = 0.0
+        for c, t in self.pairs:
+            shared = int(np.isin(t, mine).sum()) if c == family else 0
+            if shared and shared >= min(3, len(t)):
+                best = max(best, shared / len(mine), shared / len(t) if len(t) >= LONG else 0.0)
+        return best
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -171,25 +233,34 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
-def _variants(rng: np.random.Generator, noise: list[str]) -> tuple[list[str], list[int]]:
-    """Templates with words left out, put in before or after, cut off or with other numbers; and their classes."""
-    texts, labels = [], []
-    for c, (_, own) in enumerate(TEMPLATES.items()):
-        for t in own:
-            texts.append(t)
-            labels.append(c)
-            ws = t.split()
-            for _ in range(VARIANTS):
-                kept = [w for w in ws if rng.random() > 0.08] or ws
-                if len(kept) > 5 and rng.random() < 0.3:
-                    kept = kept[: int(rng.integers(5, len(kept) + 1))]
-                before, after = (list(rng.choice(noise, int(rng.integers(0, 5)))) if noise and rng.random() < 0.3 else [] for _ in "ab")
-                texts.append(" ".join([*before, *kept, *after]))
-                labels.append(c)
-    return texts, labels
-
-
-def _fit(x: np.ndarray, y: np.ndarray, k: int, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
+def _templates() -> list[tuple[str, str, bool]]:
+    """(family, text, whether it is a whole licence text)."""
+    return [(f, t, False) for f, own in TEMPLATES.items() for t in own] + [(f, " ".join(t.split()), True) for f, own in TEXTS.items() for t in own]
+
+
+def _variants(rng: np.random.Generator, noise: list[str]) -> tuple[list[str], list[int], list[int]]:
+    """Templates with words left out, put in before or after or cut off; their classes and their templates."""
+    families, texts, labels, of = list(TEMPLATES), [], [], []
+    for i, (family, t, whole) in enumerate(_templates()):
+        ws = t.split()
+        made = [] if whole else [t]
+        for _ in range(FRAGMENTS if whole else VARIANTS):
+            if whole:
+                size = int(rng.integers(6, 16))
+                at = int(rng.integers(0, max(1, len(ws) - size)))
+            part = ws[at : at + size] if whole else ws
+            kept = [w for w in part if rng.random() > (0.03 if whole else 0.08)] or part
+            if not whole and len(kept) > 5 and rng.random() < 0.3:
+                kept = kept[: int(rng.integers(5, len(kept) + 1))]
+            before, after = (list(rng.choice(noise, int(rng.integers(0, 5)))) if noise and rng.random() < 0.3 else [] for _ in "ab")
+            made.append(" ".join([*before, *kept, *after]))
+        texts += made
+        labels += [families.index(family)] * len(made)
+        of += [i] * len(made)
+    return texts, labels, of
+
+
+def _fit(x: np.ndarray, y: np.ndarray, k: int, steps: int = 120) -> tuple[np.ndarray, np.ndarray]:
     """Softmax regression with a little L2, by accelerated full-batch gradient descent; classes weigh the same."""
     n, d = x.shape
     w, b = np.zeros((d, k), np.float32), np.zeros(k, np.float32)
@@ -218,42 +289,50 @@ def _matrix(vocabulary: np.ndarray, texts: list[str]) -> np.ndarray:
 
 def train(none: list[str]) -> Model:
     rng = np.random.default_rng(5)
-    families = list(TEMPLATES)
-    every = [t for own in TEMPLATES.values() for t in own]
-    line, f, pair = features(pa.array(every))
+    families, every = list(TEMPLATES), _templates()
+    line, f, pair = features(pa.array([t for _, t, _ in every]))
     vocabulary = np.unique(f)
-    of = np.repeat(np.arange(len(families)), [len(v) for v in TEMPLATES.values()])
-    pairs = [(int(of[i]), np.unique(f[pair & (line == i)])) for i in range(len(every))]
-    loose = [w for t in every for w in t.split()]
-    none = none + [" ".join(rng.choice(loose, int(rng.integers(1, 9)))) for _ in range(100)] + [""]
+    pairs = [(families.index(family), np.unique(f[pair & (line == i)])) for i, (family, _, _) in enumerate(every)]
+    loose = [w for _, t, _ in every for w in t.split()]
+    none = none + OTHERWISE + [" ".join(rng.choice(loose, int(rng.integers(1, 9)))) for _ in range(100)] + [""]
     noise = [w for t in none[:200] for w in t.split()[:20]]
-    texts, labels = _variants(rng, noise)
-    texts, y = texts + none, np.array(labels + [len(families)] * len(none))
-    x = _matrix(vocabulary, texts)
-    fold = rng.random(len(y)) < 0.25
-    w, b = _fit(x[~fold], y[~fold], len(families) + 1)
-    z = x[fold] @ w + b
-    temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8), key=lambda t: -np.log(softmax(z / t)[np.arange(len(z)), y[fold]] + 1e-12).mean())
+    texts, labels, of = _variants(rng, noise)
+    k, n_known = len(families), len(texts)
+    y = np.array(labels + [k] * len(none))
+    x = _matrix(vocabulary, texts + none)
+    w, b = _fit(x, y, k + 1)
+    # of each family with several templates some are left out in turn
+    turn, seen = np.full(len(y), -1), {}
+    for i, (family, _, _) in enumerate(every):
+        turn[:n_known][np.array(of) == i] = seen.setdefault(family, 0) % FOLDS
+        seen[family] += 1
+    turn[n_known:] = rng.integers(0, FOLDS, len(none))
+    held, truth = [], []
+    for out in range(FOLDS):
+        w_, b_ = _fit(x[turn != out], y[turn != out], k + 1, 60)
+        held.append(x[turn == out] @ w_ + b_)
+        truth.append(y[turn == out])
+    z, t = np.concatenate(held), np.concatenate(truth)
+    temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8), key=lambda c: -np.log(softmax(z / c)[np.arange(len(z)), t] + 1e-12).mean())
     p, guess = softmax(z / temperature).max(1), z.argmax(1)
-    right = p[(guess == y[fold]) & (guess < len(families))]
-    known = float(np.quantile(right, 1 - KEEP)) if len(right) else 0.5
+    right = p[(guess == t) & (guess < k)]
     strangers = []
-    for out in range(len(families)):
-        mine = (y == out) & ~fold
-        w_, b_ = _fit(x[~fold & (y != out)], y[~fold & (y != out)], len(families) + 1, 60)
-        p_ = softmax((x[mine] @ w_ + b_) / temperature)
-        strangers.append(p_.max(1)[p_.argmax(1) < len(families)])
-    strange = float(np.quantile(np.concatenate(strangers), 0.5)) if any(map(len, strangers)) else 0.5
-    return Model([*families, NONE], vocabulary, w, b, float(temperature), min(known, max(0.5, strange)), pairs)
+    for out in range(k):
+        w_, b_ = _fit(x[y != out], y[y != out], k + 1, 60)
+        p_ = softmax((x[y == out] @ w_ + b_) / temperature)
+        strangers.append(p_.max(1)[p_.argmax(1) < k])
+    strange = np.concatenate(strangers)
+    least = min(np.linspace(0.3, 0.95, 66).tolist(), key=lambda c: (right < c).mean() + (strange >= c).mean() if len(right) and len(strange) else 0.0)
+    return Model([*families, NONE], vocabulary, w, b, float(temperature), least, pairs)
 
 
 def none_sample(docs: DataFrame) -> list[str]:
     rows = pick(docs, doc_id="bigint", text="string").filter("text <> ''")
-    least = [h for (h,) in rows.select(F.xxhash64("doc_id", "text").alias("h")).distinct().orderBy("h").limit(NONE_DOCS).collect()]
+    rows = rows.filter(F.octet_length("text") <= NONE_BYTES).withColumn("h", F.xxhash64("doc_id", "text"))
+    least = [h for (h,) in rows.select("h").distinct().orderBy("h").limit(NONE_DOCS).collect()]
     if not least:
         return []
-    top = max(least)
-    texts = rows.filter(F.xxhash64("doc_id", "text") <= top).select("text").limit(2 * NONE_DOCS).collect()
+    texts = rows.filter(F.col("h") <= max(least)).groupBy("h").agg(F.min("text").alias("text")).select("text").collect()  # NONE_DOCS at most
     lines = sorted({x for (t,) in texts for x in t.split("\n") if x and not CUE.search(x)}, key=lambda x: hash_of(x))
     return lines[:NONE_ROWS]
 
