@@ -113,7 +113,7 @@ def test_place_as_defined():
 
 def test_shards_balance(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    out = sharding.assign(df, 250_000)
+    out = sharding.assign(df, 250_000, 1)
     t = out.groupBy("shard").sum("bytes", "tokens").toPandas()
     n = out.groupBy("shard").count().toPandas()["count"]
     assert out.count() == df.count() and len(t) == math.ceil(t["sum(bytes)"].sum() / 250_000)
@@ -121,6 +121,29 @@ def test_shards_balance(spark):
         assert column.max() < 1.25 * column.mean()
 
 
+def test_shards_by_brute_force(spark):
+    """The registered query against plain loops over its groups."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    slotted, shards = sharding._slotted(df, sharding.SHARD_BYTES, sharding.LEAST_SHARDS)
+    group, of = {}, {}
+    for r in slotted.collect():
+        g = group.setdefault((r.source, r.slot), [0, 0, 0])
+        g[0], g[1], g[2] = g[0] + r.bytes, g[1] + r.tokens, g[2] + 1
+        of.setdefault((r.source, r.slot), []).append(r.doc_id)
+    whole = [sum(g[i] for g in group.values()) for i in range(3)]
+    keys = sorted(group, key=lambda k: (-max(x / w for x, w in zip(group[k], whole)), k))
+    where = naive_place([group[k] for k in keys], [[w / shards for w in whole]] * shards)
+    want = {i: s for k, s in zip(keys, where) for i in of[k]}
+    assert shards == 16 and {r.doc_id: r.shard for r in sharding.query(spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def test_shards_in_cells(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = sharding.assign(df, 100_000, 1, cell_shards=10)
+    t = out.groupBy("shard").sum("bytes").toPandas()["sum(bytes)"]
+    assert out.count() == df.count() and len(t) == 25 and t.max() < 1.4 * t.mean()
+
+
 @MAKE
 def test_shards_edges(spark, make):
     df = make(spark)
@@ -245,6 +268,21 @@ def test_templates_and_strangers(model):
     assert not list(model.finds(pa.array([util.prose(s, 30) for s in range(900, 1000)])))
 
 
+@pytest.mark.parametrize("family,line", [
+    ("MIT", "of this software and associated documentation files (the \"Software\"), to deal"), ("MIT", "in the Software without restriction, including without limitation the rights"),
+    ("MIT", "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell"), ("GPL", "This program is free software: you can redistribute it and/or modify"),
+    ("Apache-2.0", "distributed under the License is distributed on an \"AS IS\" BASIS,"), ("BSD", "notice, this list of conditions and the following disclaimer in the"),
+    ("proprietary", "All rights reserved."), ("GPL", "This work is licensed under the GNU General Public License, version 3."), ("CC-BY-NC", "Licensed under CC BY-NC 4.0."),
+])
+def test_lines_of_licence_texts(model, family, line):
+    assert [f for _, f, *_ in model.finds(pa.array([line]))] == [family]
+
+
+@pytest.mark.parametrize("line", ["All rights reserved by the hotel to refuse entry.", "All seats reserved for the guests.", "She renewed the license of the shop.", "of the", "a copy of the letter"])
+def test_lines_with_words_of_licences(model, line):
+    assert {f for _, f, *_ in model.finds(pa.array([line]))} <= {"unknown"}
+
+
 def test_scores_by_brute_force(model):
     from webloom.llm._text import U64, mix, words
 
