@@ -14,8 +14,8 @@ that set's group. So a short text that many long ones hold doesn't join these. S
    the next one's if its size allows partners there.
 3. In each bucket every node is paired with the bucket's leader, of four orders of precedence by turns; sketches and
    sizes drop most chance pairs. Of each node the pair of nearest sketches is verified: its texts are brought together
-   and containment is computed exactly from whole texts. That joins most of each group, and each text is sent once; then so
-   are the other pairs with ends in two groups.
+   and containment is computed exactly from whole texts. That joins most of each group, and each text is sent once; the
+   other pairs with ends in two groups are verified with those of step 4.
 4. Towards larger partitions the Jaccard threshold of a containment falls so low that a band has one row: the MinHash
    values of the smaller set are looked up by themselves. A set's LEAST shingles of least hash are asked for in the whole
    sets of all nodes, by one aggregate over those that anyone asks for (a bitmap keeps most others from the shuffle), and
@@ -214,7 +214,7 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 def _bitmap(hashes: DataFrame, n: int) -> np.ndarray:
     """A bit for each of n hashes, by their first bits: as small sets are few, there are few bits for great hashes, and
     most of them don't pass however many there are of small ones. The size is a multiple of n, up to MAX_BITMAP."""
-    bits = min(MAX_BITMAP, max(1 << 15, 1 << (24 * n).bit_length()))
+    bits = min(MAX_BITMAP, max(1 << 15, 1 << (12 * n).bit_length()))
     at = F.shiftrightunsigned("h", 64 - (bits.bit_length() - 1)) + 1
     words = hashes.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
     out = np.zeros(bits >> 3, np.uint8)
@@ -316,7 +316,7 @@ def _counted(pairs: DataFrame, asked: DataFrame, holders: DataFrame) -> DataFram
 
 
 def _asked(texts: DataFrame, sketched: DataFrame, nodes: DataFrame, joined: DataFrame, absorb: bool) -> tuple[DataFrame, DataFrame]:
-    """(a, b) of links between groups of sets up to RATIO apart; and, if absorb, (root, into, n, tag, q_n): containers of groups."""
+    """(a, b) of likely links between groups of sets up to RATIO apart; and, if absorb, (root, into, n, tag, q_n): containers of groups."""
     rooted = nodes.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = materialize(rooted.select("node", "root", "n", "t_hi", "t_lo", "set_hi", "set_lo", "least"), "rooted")
     base = new_table_path(texts.sparkSession, "places")
@@ -344,8 +344,7 @@ def _asked(texts: DataFrame, sketched: DataFrame, nodes: DataFrame, joined: Data
     held = asked.join(by_class, "h").filter(near_by).groupBy("q", "q_n", "q_root", "h").agg(F.sum("df").alias("df"))
     fits = (F.col("n") >= F.col("q_n")) & (F.col("n") <= F.lit(RATIO) * F.col("q_n")) & (F.col("root") != F.col("q_root"))
     met = _met(_rarest(held, "df"), holders, fits)
-    links = materialize(_counted(met, asked, holders).select(F.col("q").alias("a"), F.col("node").alias("b")), "likely")
-    links = materialize(_verified(texts, sketched, nodes, links), "links")
+    links = _counted(met, asked, holders).select(F.least("q", "node").alias("a"), F.greatest("q", "node").alias("b"))
     if not absorb:
         return links, links.limit(0)
 
@@ -430,11 +429,11 @@ def grouped(docs: DataFrame, absorb: bool) -> tuple[DataFrame, DataFrame]:
     led = materialize(_led(nodes), "led")
     nearest = led.groupBy("b").agg(F.min_by("a", F.struct("differ", "a")).alias("a")).select("a", "b")
     edges = materialize(_verified(texts, sketched, nodes, nearest), "verified")
-    apart = materialize(_apart(led, components(edges)), "apart")
-    edges = materialize(edges.unionByName(_verified(texts, sketched, nodes, apart)), "verified")
     joined = materialize(components(edges), "joined")
-    links, absorbed = _asked(texts, sketched, nodes, joined, absorb)
-    roots = components(edges.unionByName(links))
+    likely, absorbed = _asked(texts, sketched, nodes, joined, absorb)
+    apart = _apart(led, joined).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = _verified(texts, sketched, nodes, materialize(likely.unionByName(apart).distinct(), "apart"))
+    roots = components(edges.unionByName(more))
     of_set = nodes.select("set_hi", "set_lo", "node").join(roots, "node", "left").select("set_hi", "set_lo", "node", F.coalesce("root", "node").alias("root"))
     member = sketched.select("doc_id", "t_hi", "t_lo", "set_hi", "set_lo").join(of_set.drop("node"), ["set_hi", "set_lo"]).drop("set_hi", "set_lo")
     group = member.groupBy("root").agg(F.count("*").alias("n_rows"), F.min("doc_id").alias("kept"))
