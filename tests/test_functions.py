@@ -122,3 +122,30 @@ def test_query_parser():
     assert [(c.words, c.fields) for c in q.clauses] == [(["alpha"], ("title", "body")), (["beta", "gamma"], ("title", "body")), (["delta"], ("title",)), (["x", "y"], ("body",)), (["site"], ("title", "body"))]
     assert q.hosts == ["e.org"] and R.parse("  ").empty and R.parse("well-known").clauses[0].words == ["well", "known"]
     assert R.clamp_page(99) == 20 and R.clamp_page(-1) == 0 and len(R.parse("a" * 600).clauses[0].words[0]) == 512
+
+
+def test_warc_writes_add_shards(spark, tmp_path):
+    """Each appending write keeps what others wrote; an overwriting one replaces it. Paths may be URIs."""
+    def one(i):
+        h, b = warc.response(f"http://e.org/{i}", "2024-01-01T00:00:00Z", 200, [], b"x%d" % i)
+        return spark.createDataFrame([([{"k": k, "v": v} for k, v in h], b)], f"headers {warc.HEADERS}, body binary")
+
+    path = f"file://{tmp_path}/w"
+    for i in range(3):
+        warc.write(one(i), path)
+    assert sorted(r.uri for r in warc.read(spark, path).select(warc.target_uri().alias("uri")).collect()) == [f"http://e.org/{i}" for i in range(3)]
+    assert len(warc.discover(path)) == len(warc.discover(str(tmp_path / "w"))) == 3 and warc.seal(spark, path).count() == 3
+    warc.write(one(9), path, "overwrite")
+    assert [r.uri for r in warc.read(spark, path).select(warc.target_uri().alias("uri")).collect()] == ["http://e.org/9"]
+    assert not [p for p in (tmp_path / "w").iterdir() if p.name.endswith(".part")]
+
+
+def test_warc_append_to_a_torn_shard(spark, tmp_path):
+    shard = str(tmp_path / "s.warc.gz")
+    made = [warc.response(f"http://e.org/{i}", "2024-01-01T00:00:00Z", 200, [], b"x%d" % i) for i in range(4)]
+    warc.append(shard, made[:2])
+    with open(shard, "ab") as f:
+        f.write(warc.member(*made[2])[:20])
+    places = warc.append(shard, made[2:])
+    back = warc.read(spark, shard).collect()
+    assert [bytes(r.body) for r in back] == [b for _, b in made] and [(r.offset, r.length) for r in back[2:]] == places

@@ -5,7 +5,6 @@ A snapshot is a directory of Parquet tables; CURRENT names the one in use and is
 
 from __future__ import annotations
 
-import os
 import uuid
 
 import pyarrow as pa
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from webloom.functions import html, text, times, url
 from webloom.operators import catalog, dedup, graph, retrieval
 from webloom.session import materialize
-from webloom.sources import warc
+from webloom.sources import files, warc
 from webloom.sources.config import Config
 
 
@@ -53,7 +52,7 @@ def rebuild(spark: SparkSession, archive: str, out: str, config: Config | None =
     """Builds a snapshot beside the current one and swaps it in; its path."""
     config = config or Config()
     docs, links = build(spark, archive, config.index.languages)
-    path = os.path.join(out, f"snapshot-{uuid.uuid4().hex[:12]}")
+    path = f"{out.rstrip('/')}/snapshot-{uuid.uuid4().hex[:12]}"
     links.write.parquet(f"{path}/links")
     ranks = spark.createDataFrame([], "node string, pct double")
     if links.take(1):
@@ -61,16 +60,12 @@ def rebuild(spark: SparkSession, archive: str, out: str, config: Config | None =
     docs = docs.join(ranks.select(F.col("node").alias("host"), F.col("pct").alias("centrality")), "host", "left").fillna(0.0, ["centrality"])
     docs.write.partitionBy("verdict").parquet(f"{path}/docs")
     searchable(spark, path).transform(lambda d: retrieval.write_index(d, f"{path}/index") or d)
-    pointer = os.path.join(out, "CURRENT")
-    with open(pointer + ".new", "w") as f:
-        f.write(os.path.basename(path))
-    os.replace(pointer + ".new", pointer)
+    files.replace(f"{out.rstrip('/')}/CURRENT", path.rsplit("/", 1)[1].encode())
     return path
 
 
 def current(out: str) -> str:
-    with open(os.path.join(out, "CURRENT")) as f:
-        return os.path.join(out, f.read())
+    return f"{out.rstrip('/')}/{files.read(out.rstrip('/') + '/CURRENT').decode()}"
 
 
 def searchable(spark: SparkSession, path: str) -> DataFrame:

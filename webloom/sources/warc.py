@@ -1,14 +1,15 @@
 """WARC files: scan, random reads by pointer, parsing, and writing with sealed shards.
 
 A scan has one task for each file; a member's place in the file comes with each record, so that read_records() can
-fetch single ones later. Gzip members and plain files are both read.
+fetch single ones later. Gzip members and plain files are both read. Paths may be URIs of any file system that the
+executors share.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
-import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -19,9 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from webloom.sources import files
+
 HEADERS = "array<struct<k:string,v:string>>"
 SCHEMA = f"path string, offset bigint, length bigint, headers {HEADERS}, body binary"
 READ = 1 << 20
+ENDINGS = (".warc", ".warc.gz")
 
 
 def parse_record(raw: bytes) -> tuple[list[tuple[str, str]], bytes]:
@@ -44,7 +48,7 @@ def parse_record(raw: bytes) -> tuple[list[tuple[str, str]], bytes]:
 
 def members(path: str) -> Iterator[tuple[int, int, bytes]]:
     """(offset, length, bytes) of each gzip member, or of each record of a plain file. A torn last member ends the scan."""
-    with open(path, "rb") as f:
+    with files.open_input(path) as f:
         if f.read(2) != b"\x1f\x8b":
             f.seek(0)
             yield from _plain(f.read())
@@ -80,9 +84,7 @@ def _plain(data: bytes) -> Iterator[tuple[int, int, bytes]]:
 
 def discover(path: str) -> list[str]:
     """The .warc and .warc.gz files under a path, sorted."""
-    if os.path.isfile(path):
-        return [path]
-    return sorted(os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith((".warc", ".warc.gz")))
+    return [p for p, _ in files.listed(path, ENDINGS)]
 
 
 class _File(InputPartition):
@@ -109,33 +111,40 @@ class _Committed(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
-    """One shard for each task; a shard takes its final name only when the whole write commits."""
+    """One shard for each task; a shard takes its final name only when the whole write commits.
 
-    def __init__(self, path: str):
-        self.path = path
+    Names go on from the highest number there and end in the write's own id, so that no write replaces another's shards.
+    An overwriting write removes the shards that were there once its own are."""
+
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite, self.job = path.rstrip("/"), overwrite, uuid.uuid4().hex[:8]
 
     def write(self, rows: Iterator[Any]) -> WriterCommitMessage:
-        os.makedirs(self.path, exist_ok=True)
-        temporary, n = os.path.join(self.path, f".{uuid.uuid4().hex}.part"), 0
-        with open(temporary, "wb") as f:
+        temporary, n = f"{self.path}/.{uuid.uuid4().hex}.part", 0
+        with files.open_output(temporary) as f:
             for row in rows:
                 f.write(member([(h["k"], h["v"]) for h in row["headers"]], bytes(row["body"])))
                 n += 1
-            f.flush()
-            os.fsync(f.fileno())
+        files.synced(temporary)
         return _Committed(temporary, n)
 
     def commit(self, messages: list) -> None:
-        for i, m in enumerate(m for m in messages if m):
-            if m.rows:
-                os.replace(m.temporary, os.path.join(self.path, f"shard-{i:05d}.warc.gz"))
-            else:
-                os.unlink(m.temporary)
+        there = discover(self.path)
+        numbers = [int(m[1]) for m in (re.search(r"shard-(\d+)[^/]*$", p) for p in there) if m]
+        i = max(numbers, default=-1) + 1
+        for m in messages:
+            if m and m.rows:
+                files.move(m.temporary, f"{self.path}/shard-{i:05d}-{self.job}.warc.gz")
+                i += 1
+            elif m:
+                files.remove(m.temporary)
+        for old in there if self.overwrite else []:
+            files.remove(old)
 
     def abort(self, messages: list) -> None:
         for m in messages:
-            if m and os.path.exists(m.temporary):
-                os.unlink(m.temporary)
+            if m:
+                files.remove(m.temporary)
 
 
 class WarcSource(DataSource):
@@ -152,7 +161,7 @@ class WarcSource(DataSource):
         return _Reader(self.options["path"])
 
     def writer(self, schema: Any, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["path"])
+        return _Writer(self.options["path"], overwrite)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -160,9 +169,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("warc").option("path", path).load()
 
 
-def write(df: DataFrame, path: str) -> None:
+def write(df: DataFrame, path: str, mode: str = "append") -> None:
     df.sparkSession.dataSource.register(WarcSource)
-    df.select("headers", "body").write.format("warc").option("path", path).mode("append").save()
+    df.select("headers", "body").write.format("warc").option("path", path).mode(mode).save()
 
 
 def member(headers: list[tuple[str, str]], body: bytes) -> bytes:
@@ -218,7 +227,7 @@ def read_records(pointers: DataFrame) -> DataFrame:
                 if not opened or opened[0] != path:
                     if opened:
                         opened[1].close()
-                    opened = (path, open(path, "rb"))
+                    opened = (path, files.open_input(path))
                 opened[1].seek(offset)
                 raw = opened[1].read(length)
                 headers, body = parse_record(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)
@@ -237,15 +246,29 @@ def seal(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             rows = []
             for p in b["path"]:
-                h = hashlib.sha256()
-                with open(p, "rb") as f:
+                h, size = hashlib.sha256(), 0
+                with files.open_input(p) as f:
                     while part := f.read(READ):
                         h.update(part)
-                rows.append((p, os.path.getsize(p), h.hexdigest()))
+                        size += len(part)
+                rows.append((p, size, h.hexdigest()))
             yield pd.DataFrame(rows, columns=["path", "bytes", "digest"])
 
-    files = discover(path)
-    return spark.createDataFrame([(p,) for p in files], "path string").repartition(max(1, len(files))).mapInPandas(run, "path string, bytes bigint, digest string")
+    found = discover(path)
+    return spark.createDataFrame([(p,) for p in found], "path string").repartition(max(1, len(found))).mapInPandas(run, "path string, bytes bigint, digest string")
+
+
+def append(path: str, records: list[tuple[list[tuple[str, str]], bytes]]) -> list[tuple[int, int]]:
+    """Adds members to a shard, new or not, after its last whole one; their (offset, length)."""
+    there = bool(files.listed(path, ENDINGS))
+    data = files.read(path)[: truncate_torn(path)] if there else b""
+    places = []
+    for headers, body in records:
+        one = member(headers, body)
+        places.append((len(data), len(one)))
+        data += one
+    files.replace(path, data)
+    return places
 
 
 def truncate_torn(path: str) -> int:
@@ -253,6 +276,7 @@ def truncate_torn(path: str) -> int:
     end = 0
     for offset, length, _ in members(path):
         end = offset + length
-    with open(path, "r+b") as f:
-        f.truncate(end)
+    if files.listed(path, ENDINGS)[0][1] > end:
+        with files.open_input(path) as f:
+            files.replace(path, f.read(end))
     return end
