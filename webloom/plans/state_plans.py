@@ -38,7 +38,7 @@ def _effects(s, d):
 
 def _stream(s, d):
     pages = S.read_stream(s, f"{d}/pages.parquet")
-    return S.run_once(S.claim_stream(pages.select(host_of(F.col("url")).alias("host"), "url", F.lit(10**9).cast("bigint").alias("at"))), "claims").select("host", "url")
+    return S.run_once(S.claim_stream(pages.select(host_of(F.col("url")).alias("host"), "url", F.lit(10**9).cast("bigint").alias("at")), 2), "claims")
 
 
 def _stream_counts(s, d):
@@ -46,6 +46,10 @@ def _stream_counts(s, d):
     return S.run_once(S.windowed_counts(events).drop("value"), "windows").select(F.date_format("begin", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
+#: A window is put out once the watermark, an hour behind the latest event, is past its end.
+WINDOWS_SQL = """WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events)
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events, m WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= mark GROUP BY ALL"""
+
 STATE = {
     "outcome_machine": (
         _effects,
@@ -76,8 +80,11 @@ STATE = {
         sql("SELECT id, url FROM docs WHERE indexed = 0 ORDER BY shard_id, off LIMIT 200"),
     ),
     "drain_detection": (lambda s, d: S.is_drained(C.pending_soon(view(s, d, "frontier"), view(s, d, "hosts"), NOW, 3600)), sql(f"SELECT count(*) = 0 AS drained FROM frontier f JOIN hosts h ON h.id = f.host_id WHERE h.state = 1 AND (f.state = 1 OR (f.state = 0 AND f.next_attempt_at <= {NOW + 3600}))")),
-    "stream_claims": (_stream, "SELECT DISTINCT regexp_extract(lower(url), '^https?://([^/:?#]+)', 1) AS host, url FROM pages"),
-    "stream_windows": (_stream_counts, None),
+    "stream_claims": (
+        _stream,
+        "SELECT host, url, 1000000000 + 2 * (row_number() OVER (PARTITION BY host ORDER BY url) - 1) AS claimed_at FROM (SELECT DISTINCT regexp_extract(lower(url), '^https?://([^/:?#]+)', 1) AS host, url FROM pages)",
+    ),
+    "stream_windows": (_stream_counts, WINDOWS_SQL),
     "event_windows": (
         lambda s, d: S.windowed_counts(table(s, d, "events")).select(F.date_format("begin", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("value", 4).alias("value")),
         "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",

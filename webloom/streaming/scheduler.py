@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from typing import Any
 
 import pandas as pd
@@ -13,30 +14,33 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from webloom.session import new_table_path
 
 OUT = "host string, url string, claimed_at bigint"
-STATE = "queue array<string>, gate bigint"
+STATE = "seen array<bigint>, gate bigint"
+
+
+def _key(url: str) -> int:
+    return int.from_bytes(blake2b(url.encode(), digest_size=8).digest(), "big", signed=True)
 
 
 def claim_stream(found: DataFrame, delay_s: int = 1) -> DataFrame:
-    """Jobs from a stream of (host, url, at): a host's URLs in order of arrival, each once, one per delay.
+    """Jobs from a stream of (host, url, at): each URL of a host once, with the second from which it may be fetched.
 
-    State by host: the URLs waiting and the second from which the next may go."""
+    A URL may go at the second of its arrival, but not before delay_s after the host's URL before it; those of a
+    micro-batch go in order of (at, url). As a job carries its time, none waits in the state for another row of its host.
+    State by host: hashes of the URLs given out, and the second from which the next may go."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        queue, gate = state.get if state.exists else ([], 0)
-        queue, now = list(queue), gate
-        seen = set(queue)
-        for b in batches:
-            for url, at in b.sort_values(["at", "url"])[["url", "at"]].itertuples(index=False):
-                now = max(now, int(at))
-                if url not in seen:
-                    seen.add(url)
-                    queue.append(url)
+        given, gate = state.get if state.exists else ([], None)
+        seen = set(given)
+        rows = sorted({(int(at), url) for b in batches for url, at in zip(b["url"], b["at"]) if url is not None})
         out: list[tuple[Any, ...]] = []
-        gate = max(gate, 0)
-        while queue and gate <= now:
-            out.append((key[0], queue.pop(0), max(gate, 0)))
-            gate = gate + delay_s
-        state.update((queue, gate))
+        for at, url in rows:
+            if _key(url) not in seen:
+                seen.add(_key(url))
+                claimed = at if gate is None else max(gate, at)
+                gate = claimed + delay_s
+                out.append((key[0], url, claimed))
+        if gate is not None:
+            state.update((list(seen), gate))
         yield pd.DataFrame(out, columns=["host", "url", "claimed_at"])
 
     return found.groupBy("host").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
