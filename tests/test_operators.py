@@ -158,3 +158,35 @@ def test_claims_stream_once_per_url(spark):
     assert out.count() == out.select("url").distinct().count() == spark.read.parquet(f"{SF}/pages.parquet").select("url").distinct().count()
     gaps = out.groupBy("host", "claimed_at").count().filter("count > 1")
     assert gaps.count() == 0 and S.commit_due(1000, 0) and S.commit_due(1, 61) and not S.commit_due(0, 99)
+
+
+def test_claims_over_two_batches(spark, tmp_path):
+    """A host's gap holds across micro-batches, nothing is claimed before it arrives, and no URL twice."""
+    batches = [[("h", "u1", 1000), ("h", "u2", 1000), ("g", "v1", 1000)], [("h", "u1", 1001), ("h", "u3", 1001), ("g", "v2", 5000), ("g", None, 5000)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "host string, url string, at bigint").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema("host string, url string, at bigint").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = {(r.url, r.claimed_at) for r in S.run_once(S.claim_stream(stream, 60), "claims").collect()}
+    assert got == {("u1", 1000), ("u2", 1060), ("u3", 1120), ("v1", 1000), ("v2", 5000)}
+
+
+def test_simhash_equals_a_plain_loop(spark):
+    from hashlib import md5
+
+    texts = ["a b b c", "One  two\nTHREE", "", None, "é ü x" * 50]
+    want = {}
+    for i, t in enumerate(texts):
+        votes = [0] * 64
+        for w in (t or "").lower().split():
+            h = int.from_bytes(md5(w.encode()).digest()[:8], "big")
+            for k in range(64):
+                votes[k] += 1 if h >> k & 1 else -1
+        if t:
+            v = sum(1 << k for k in range(64) if votes[k] > 0)
+            want[i] = v - (1 << 64) if v >> 63 else v
+    assert dict(D.simhash(spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")).collect()) == want
+
+
+def test_near_pairs_stand_for_equal_hashes(spark):
+    df = spark.createDataFrame([(i, 7 if i < 500 else 6) for i in range(1000)], "id bigint, simhash bigint")
+    assert [tuple(r) for r in D.near_pairs(df).collect()] == [(0, 500)] and D.classes(df).filter("first = 0").count() == 500

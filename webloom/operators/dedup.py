@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from hashlib import md5
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,38 +16,66 @@ from webloom.functions.text import squash
 from webloom.session import materialize
 
 RADIUS = 3
-BANDS = 4
+BLOCKS = (11, 11, 11, 11, 10, 10)  # bits; a pair within the radius shares three of the six
+WORDS_HELD = 1 << 20
 
 
 def simhash(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """(key, simhash): the bitwise majority of the MD5s of lower-cased words, as a signed 64-bit number.
 
-    Words are counted first, so a document's repeats cost nothing; the 64 votes are taken in one aggregate."""
-    word = F.explode(F.split(F.lower(squash(F.col(text))), " ")).alias("w")
-    counted = docs.select(key, word).filter("w <> ''").groupBy(key, "w").agg(F.count("*").alias("n"))
-    halves = [F.conv(F.substring(F.md5("w"), a, 8), 16, 10).cast("bigint") for a in (1, 9)]
-    counted = counted.select(key, "n", halves[0].alias("hi"), halves[1].alias("lo"))
-    votes = [F.sum(F.when(F.col(h).bitwiseAND(F.lit(1 << b)) != 0, F.col("n")).otherwise(-F.col("n"))).alias(f"{h}{b}") for h in ("hi", "lo") for b in range(32)]
-    v = counted.groupBy(key).agg(*votes)
-
-    def word_of(h: str) -> Column:
-        return sum((F.when(F.col(f"{h}{b}") > 0, F.lit(1 << b)).otherwise(F.lit(0)) for b in range(32)), F.lit(0).cast("bigint"))
-
-    return v.select(key, F.shiftleft(word_of("hi"), 32).bitwiseOR(word_of("lo")).alias("simhash"))
+    All words of a document are in its row, so each row votes by itself, without a shuffle. Texts without words have none."""
+
+    @F.arrow_udf("bigint")
+    def vote(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held: dict[str, bytes] = {}
+        for arr in batches:
+            out = np.zeros(len(arr), ">i8")
+            none = np.zeros(len(arr), bool)
+            for i, t in enumerate(arr.to_pylist()):
+                counts = Counter(t.split(" ")) if t else {}
+                counts.pop("", None)
+                if not counts:
+                    none[i] = True
+                    continue
+                if len(held) > WORDS_HELD:
+                    held.clear()
+                for w in counts.keys() - held.keys():
+                    held[w] = md5(w.encode()).digest()[:8]
+                bits = np.unpackbits(np.frombuffer(b"".join(map(held.__getitem__, counts)), np.uint8).reshape(-1, 8), axis=1)
+                n = np.fromiter(counts.values(), np.int64, len(counts))
+                out[i] = np.packbits(2 * (n @ bits) > n.sum()).view(">i8")[0]
+            yield pa.array(out.astype(np.int64), mask=none)
+
+    plain = F.lower(squash(F.col(text)))
+    return docs.select(key, vote(plain).alias("simhash")).filter("simhash IS NOT NULL")
+
+
+def classes(hashes: DataFrame, key: str = "id") -> DataFrame:
+    """(id, first): the least id with the same hash, which stands for them all."""
+    least = hashes.groupBy("simhash").agg(F.min(key).alias("first"))
+    return hashes.select(F.col(key).alias("id"), "simhash").join(least, "simhash").select("id", "first")
 
 
 def near_pairs(hashes: DataFrame, key: str = "id", radius: int = RADIUS) -> DataFrame:
-    """(a, b) with a < b within the radius. Of BANDS blocks of bits, a pair within a radius below BANDS shares one."""
-    if radius >= BANDS:
-        raise ValueError("the radius must be below the number of bands")
-    bands = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("simhash", 16 * i).bitwiseAND(F.lit(0xFFFF)).alias("band")) for i in range(BANDS)])).alias("x")
-    filed = hashes.select(F.col(key).alias("id"), "simhash", bands).select("id", "simhash", "x.i", "x.band")
+    """(a, b) with a < b of different hashes within the radius, of the least ids of each hash: see classes() for the others.
+
+    A row is filed under each three of the six blocks, some 32 bits, so that few chance pairs meet."""
+    if radius > len(BLOCKS) // 2:
+        raise ValueError("the radius must be at most half the number of blocks")
+    at = [sum(BLOCKS[:i]) for i in range(len(BLOCKS))]
+    first = hashes.groupBy("simhash").agg(F.min(key).alias("id"))
+    keys = [F.col("simhash").bitwiseAND(F.lit(_signed(sum(((1 << BLOCKS[i]) - 1) << at[i] for i in three)))) for three in combinations(range(len(BLOCKS)), 3)]
+    filed = first.select("id", "simhash", F.posexplode(F.array(*keys)).alias("i", "band"))
     a, b = filed.alias("a"), filed.alias("b")
     close = F.bit_count(F.col("a.simhash").bitwiseXOR(F.col("b.simhash"))) <= radius
     met = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id")) & close)
     return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def greedy_keep(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, keep): a document is kept unless it is near one kept before it, in order of id.
 
@@ -72,9 +107,12 @@ def exact_first(digest: str = "sha256") -> Column:
 def gate_duplicates(docs: DataFrame) -> DataFrame:
     """(id, verdict) of documents (id, sha256, simhash): dup-exact, dup-near or index.
 
-    A digest counts as seen even if its first document turns out a near-duplicate, so later copies are dup-exact."""
+    A digest counts as seen even if its first document turns out a near-duplicate, so later copies are dup-exact. Of equal
+    hashes only the first document can be kept: what it is near is earlier than the others too."""
     marked = materialize(docs.select("id", "simhash", exact_first().alias("first")), "marked")
     firsts = marked.filter("first")
-    keep = greedy_keep(firsts, near_pairs(firsts))
+    of = materialize(classes(firsts), "classes")
+    heads = greedy_keep(of.filter("id = first"), near_pairs(firsts))
+    keep = of.select("id").join(heads, "id", "left").select("id", F.coalesce("keep", F.lit(False)).alias("keep"))
     verdict = F.when(~F.col("first"), "dup-exact").when(~F.col("keep"), "dup-near").otherwise("index")
     return marked.join(keep, "id", "left").select("id", verdict.alias("verdict"))

@@ -26,14 +26,15 @@ def harmonic_exact(links: DataFrame) -> DataFrame:
     edges = materialize(edges, "graph")
     hop = edges.select(F.col("src").alias("via"), F.col("dst").alias("to"))
     front = seen = materialize(edges.select("src", "dst", F.lit(1).alias("d")), "hop")
-    d = 1
+    fronts, d = [front], 1
     while True:
         d += 1
         step = front.join(hop, front["dst"] == hop["via"]).select("src", F.col("to").alias("dst")).filter("src <> dst").distinct()
         front = materialize(step.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("d", F.lit(d)), "hop")
         if not front.take(1):
             break
-        seen = materialize(seen.unionByName(front), "reached")
+        fronts.append(front)  # each front is written once; what was reached is the union of their files
+        seen = front.sparkSession.read.schema(front.schema).parquet(*[p for f in fronts for p in f.inputFiles()])
     score = seen.groupBy(F.col("dst").alias("node")).agg(F.sum(F.lit(1.0) / F.col("d")).alias("score"))
     return nodes.join(score, "node", "left").select("node", F.coalesce("score", F.lit(0.0)).alias("score"))
 
