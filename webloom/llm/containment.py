@@ -12,7 +12,7 @@ that set's group. So a short text that many long ones hold doesn't join these. S
    follows from the containment threshold and the sizes that can meet there; bands and rows are tuned to it so
    that such a pair shares a band with probability RECALL. A node is filed under its own partition's bands, and asks in
    the next one's if its size allows partners there.
-3. In each bucket every node is paired with the bucket's leader, of four orders of precedence by turns; sketches and
+3. In each bucket every node is paired with the bucket's leader, of eight orders of precedence by turns; sketches and
    sizes drop most chance pairs. Of each node the pair of nearest sketches is verified: its texts are brought together
    and containment is computed exactly from whole texts. That joins most of each group, and each text is sent once; the
    other pairs with ends in two groups are verified with those of step 4.
@@ -195,7 +195,10 @@ def _verify(holds: Callable[[np.ndarray, np.ndarray], bool]):
 def _led(nodes: DataFrame) -> DataFrame:
     """(a, b, differ): each node of a bucket with the bucket's leader, if sizes and sketches let them be linked."""
     filed = nodes.select("node", F.explode("bands").alias("key"))
-    lead = filed.groupBy("key").agg(F.min_by("node", F.struct(F.xxhash64("node", F.pmod("key", F.lit(4))), "node")).alias("lead"), F.count("*").alias("many")).filter("many > 1")
+    # the least or the greatest of the numbers under one of four masks
+    mask = F.xxhash64(F.pmod("key", F.lit(4)))
+    masked = filed.withColumn("o", F.col("node").bitwiseXOR(mask)).groupBy("key").agg(F.min("o").alias("lo"), F.max("o").alias("hi")).filter("lo <> hi")
+    lead = masked.select("key", F.when(F.pmod(F.shiftright("key", 2), F.lit(2)) == 0, F.col("lo")).otherwise(F.col("hi")).bitwiseXOR(mask).alias("lead"))
     pairs = filed.join(lead, "key").filter("lead <> node").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     for end in ("a", "b"):
         pairs = pairs.join(nodes.select(F.col("node").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in ("n", "sk_hi", "sk_lo", "far")]), end)
@@ -211,10 +214,10 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
 
 
-def _bitmap(hashes: DataFrame, n: int) -> np.ndarray:
+def _bitmap(hashes: DataFrame, n: int, bits_each: int) -> np.ndarray:
     """A bit for each of n hashes, by their first bits: as small sets are few, there are few bits for great hashes, and
     most of them don't pass however many there are of small ones. The size is a multiple of n, up to MAX_BITMAP."""
-    bits = min(MAX_BITMAP, max(1 << 15, 1 << (12 * n).bit_length()))
+    bits = min(MAX_BITMAP, max(1 << 15, 1 << (bits_each * n).bit_length()))
     at = F.shiftrightunsigned("h", 64 - (bits.bit_length() - 1)) + 1
     words = hashes.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
     out = np.zeros(bits >> 3, np.uint8)
@@ -236,9 +239,9 @@ def _places(base: str, part: int) -> tuple[np.ndarray, ...]:
     return (t[order], *(rows.column(c).to_numpy()[order] for c in ("node", "root", "tag")))
 
 
-def _holders(texts: DataFrame, base: str, hashes: DataFrame) -> DataFrame:
+def _holders(texts: DataFrame, base: str, hashes: DataFrame, bits_each: int) -> DataFrame:
     """(h, node, root, n, tag) of the shingles among hashes (and some others) in all texts. A node may recur."""
-    held = texts.sparkSession.sparkContext.broadcast(_bitmap(hashes, hashes.count()))
+    held = texts.sparkSession.sparkContext.broadcast(_bitmap(hashes, hashes.count(), bits_each))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, part, places = held.value, None, None
@@ -327,7 +330,7 @@ def _asked(texts: DataFrame, sketched: DataFrame, nodes: DataFrame, joined: Data
     rooted = rooted.join(top, "root").withColumn("largest", F.lit(absorb) & (F.col("n") == F.col("most"))).drop("most")
     of_q = [F.col("node").alias("q"), F.col("root").alias("q_root"), F.col("n").alias("q_n"), "largest"]
     least = rooted.select(*of_q, F.explode("least").alias("h"))
-    by_class = _holders(texts, base, least.select("h")).groupBy("h", _class("n").alias("c")).agg(F.min("root").alias("first"), F.max("root").alias("last"), F.max("n").alias("most"))
+    by_class = _holders(texts, base, least.select("h"), 12).groupBy("h", _class("n").alias("c")).agg(F.min("root").alias("first"), F.max("root").alias("last"), F.max("n").alias("most"))
     other = (F.col("first") != F.col("q_root")) | (F.col("last") != F.col("q_root"))
     # sets up to RATIO apart are of a set's own class or the next
     near_by = other & F.col("c").between(_class("q_n"), _class("q_n") + 1)
@@ -338,7 +341,7 @@ def _asked(texts: DataFrame, sketched: DataFrame, nodes: DataFrame, joined: Data
     some = materialize(rooted.select(*of_q, "t_hi", "t_lo").join(enough, "q"), "askers")
     asked = _more(texts, sketched, some.select("t_hi", "t_lo")).join(some, ["t_hi", "t_lo"]).select("q", "q_root", "q_n", "largest", "h")
     asked = materialize(asked, "asked")
-    holders = materialize(_holders(texts, base, asked.select("h").distinct()).join(asked.select("h").distinct(), "h", "left_semi").distinct(), "holders")
+    holders = materialize(_holders(texts, base, asked.select("h").distinct(), 48).join(asked.select("h").distinct(), "h", "left_semi").distinct(), "holders")
 
     by_class = holders.groupBy("h", _class("n").alias("c")).agg(F.count("*").alias("df"), F.min("root").alias("first"), F.max("root").alias("last"))
     held = asked.join(by_class, "h").filter(near_by).groupBy("q", "q_n", "q_root", "h").agg(F.sum("df").alias("df"))
