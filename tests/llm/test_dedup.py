@@ -199,3 +199,28 @@ def test_sketches_pass_pairs_at_the_least_similarity():
     for c in range(20):
         p = (1 - C.least_jaccard(c)) / 2
         assert sum(comb(128, k) * p**k * (1 - p) ** (128 - k) for k in range(C.sketch_distance(c) + 1)) >= 0.999
+
+
+def seen_rows(monkeypatch):
+    """What is materialized from here on: the most rows by tag."""
+    rows, write = {}, C.materialize
+
+    def record(df, tag, *rest):
+        out = write(df, tag, *rest)
+        rows[tag] = max(rows.get(tag, 0), out.count())
+        return out
+
+    monkeypatch.setattr(C, "materialize", record)
+    return rows
+
+
+def test_a_passage_that_many_hold_makes_no_pairs(spark, monkeypatch):
+    """A passage of just over half of each short text, held by many long ones: no long text is a container."""
+    passage = util.prose(80, 58)
+    data = [(i, util.prose(500 + i, 25) + " " + passage + " " + util.prose(700 + i, 20)) for i in range(60)]
+    data += [(100 + i, util.prose(900 + i, 150) + " " + passage + " " + util.prose(1100 + i, 150)) for i in range(60)]
+    data += [(200, data[0][1] + " " + util.prose(81, 90))]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    rows = seen_rows(monkeypatch)
+    assert [tuple(x) for x in C.duplicates(df).collect()] == [(0, 200)]
+    assert rows["likely"] <= len(data)
