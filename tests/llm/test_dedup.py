@@ -214,6 +214,21 @@ def seen_rows(monkeypatch):
     return rows
 
 
+def test_edited_copies_are_not_verified_by_pair(spark, monkeypatch):
+    """Copies with many edits, so that pairs lie about the threshold: what is verified by pair stays near the number of texts."""
+    import random
+
+    r = random.Random(11)
+    words = [f"c{j}" for j in range(300)]
+    data = [(i, " ".join(f"e{i}x{j}" if r.random() < rate else w for j, w in enumerate(words))) for i in range(240) for rate in [r.uniform(0.04, 0.09)]]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    rows = seen_rows(monkeypatch)
+    kept = C.keep_one(df).count()
+    assert rows["apart"] <= 8 * len(data)
+    _, root = brute_near(data)
+    assert len(set(root)) <= kept <= len(set(root)) + 3  # links at the least containment may be missed
+
+
 def test_a_passage_that_many_hold_makes_no_pairs(spark, monkeypatch):
     """A passage of just over half of each short text, held by many long ones: no long text is a container."""
     passage = util.prose(80, 58)
@@ -224,3 +239,17 @@ def test_a_passage_that_many_hold_makes_no_pairs(spark, monkeypatch):
     rows = seen_rows(monkeypatch)
     assert [tuple(x) for x in C.duplicates(df).collect()] == [(0, 200)]
     assert rows["likely"] <= len(data)
+
+
+def test_blocks_join_what_pairs_would(spark, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK_ROWS", 7)
+    data = hot(90)
+    docs = spark.createDataFrame(data, "doc_id bigint, text string").coalesce(1)
+    rows = pinned(docs).selectExpr("doc_id AS node", "text", "xxhash64(text) AS t_hi", "xxhash64(7, text) AS t_lo", "spark_partition_id() AS part")
+    nodes = C.materialize(rows.selectExpr("node", "t_hi", "t_lo", "size(split(text, ' ')) - 3 AS n", "part"), "nodes")
+    pairs = C.materialize(nodes.select(nodes.node.alias("a")).crossJoin(nodes.select(nodes.node.alias("b"))).filter("a < b"), "pairs")
+    roots = spark.createDataFrame([(0, 0), (1, 0)], "node bigint, root bigint")
+    got = [tuple(x) for x in C._joined_in_blocks(rows, nodes, nodes, pairs, roots).collect()]
+    links, root = brute_near(data)
+    assert set(got) <= set(links) and len(got) < len(links)
+    assert components([*got, (0, 1)], len(data)) == components([*links, (0, 1)], len(data))
