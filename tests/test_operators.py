@@ -190,3 +190,27 @@ def test_simhash_equals_a_plain_loop(spark):
 def test_near_pairs_stand_for_equal_hashes(spark):
     df = spark.createDataFrame([(i, 7 if i < 500 else 6) for i in range(1000)], "id bigint, simhash bigint")
     assert [tuple(r) for r in D.near_pairs(df).collect()] == [(0, 500)] and D.classes(df).filter("first = 0").count() == 500
+
+
+def passes(df):
+    """How often the plan sends rows to Python."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("ArrowEvalPython [") + plan.count("MapInArrow ")
+
+
+def test_simhash_votes_once_on_each_text(spark):
+    assert passes(D.simhash(spark.createDataFrame([(1, "a b"), (2, " ")], "id bigint, text string"))) == 1
+
+
+def test_simhash_looks_up_only_the_words_of_the_text():
+    class Held(dict):
+        """Words seen before; going through all of them for each text would make the job quadratic."""
+
+        def keys(self):
+            raise AssertionError("all words were read")
+
+        __iter__ = items = values = keys
+
+    held = Held({f"w{i}": bytes(8) for i in range(1000)})
+    assert D._vote("a b w1", held) == D._vote("b w1 a", held) is not None and len(held) == 1002
+    assert D._vote(" ", held) is None and D._vote(None, held) is None
