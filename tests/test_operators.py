@@ -14,6 +14,7 @@ from webloom.operators import catalog as C
 from webloom.operators import dedup as D
 from webloom.operators import graph as G
 from webloom.operators import retrieval as R
+from webloom.plans.dedup_plans import DEDUP
 from webloom.streaming import outcomes as O
 from webloom.streaming import scheduler as S
 
@@ -214,3 +215,8 @@ def test_simhash_looks_up_only_the_words_of_the_text():
     held = Held({f"w{i}": bytes(8) for i in range(1000)})
     assert D._vote("a b w1", held) == D._vote("b w1 a", held) is not None and len(held) == 1002
     assert D._vote(" ", held) is None and D._vote(None, held) is None
+
+
+@pytest.mark.parametrize("name", ["near_dup_pairs"])
+def test_hashes_are_made_once(spark, name):
+    assert passes(DEDUP[name][0](spark, SF)) == 0  # they are read back from where they were written
