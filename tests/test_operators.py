@@ -217,6 +217,6 @@ def test_simhash_looks_up_only_the_words_of_the_text():
     assert D._vote(" ", held) is None and D._vote(None, held) is None
 
 
-@pytest.mark.parametrize("name", ["near_dup_pairs"])
+@pytest.mark.parametrize("name", ["near_dup_pairs", "simhash_classes"])
 def test_hashes_are_made_once(spark, name):
     assert passes(DEDUP[name][0](spark, SF)) == 0  # they are read back from where they were written
