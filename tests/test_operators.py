@@ -220,3 +220,15 @@ def test_simhash_looks_up_only_the_words_of_the_text():
 @pytest.mark.parametrize("name", ["near_dup_pairs", "simhash_classes"])
 def test_hashes_are_made_once(spark, name):
     assert passes(DEDUP[name][0](spark, SF)) == 0  # they are read back from where they were written
+
+
+def test_stems_are_counted_in_one_pass_each(spark):
+    rows = [(1, "u1", "h", "Running", "he runs, he runs; HE RUN far", 0.0), (2, "u2", "h", None, "", 0.5), (3, "u3", "h", "run", None, None), (None, "u4", "h", "x", "he walks", 0.0)]
+    docs = spark.createDataFrame(rows, "id bigint, url string, host string, title string, body string, centrality double")
+    t, _ = R._matched(docs, R.parse('run "he runs"'), True)
+    got = {r.url: (r.len_title, r.len_body, r.tf_0_title, r.tf_0_body, r.tf_1_body) for r in t.collect()}
+    assert got == {"u1": (1, 7, 1, 3, 3), "u2": (0, 0, 0, 0, 0), "u3": (1, 0, 1, 0, 0), "u4": (1, 2, 0, 0, 0)}
+    assert R._times(["a", "a", "a"], ["a", "a"]) == 2
+    # once for statistics and once for scores; a filter on them doesn't stem all texts a third time
+    spark.conf.unset(key := "spark.sql.execution.arrow.maxBytesPerBatch")
+    assert passes(R.scored(docs, R.parse("he"), stemming=True)) == 2 and spark.conf.get(key) is not None

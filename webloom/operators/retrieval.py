@@ -8,14 +8,18 @@ back to the k ids. search_index() does the same from a postings table, of which
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from webloom.functions.text import lead_snippet, stem, stemmed, tokens
 from webloom.operators.catalog import interleave
+from webloom.session import bound_batches
 
 K1, B = 1.2, 0.75
 TITLE_BOOST = 2.0
@@ -72,14 +76,43 @@ def _frequency(toks: Column, words: list[str]) -> Column:
 
 def _matched(docs: DataFrame, query: Query, stemming: bool) -> tuple[DataFrame, list[tuple[int, str, float]]]:
     fields = {"title": TITLE_BOOST, "body": 1.0}
-    read = {f: stemmed(tokens(F.col(f))) if stemming else tokens(F.col(f)) for f in fields}
     words = [[stem(w) if stemming else w for w in c.words] for c in query.clauses]
-    t = docs.select("id", "url", "host", "centrality", *[F.coalesce(x, F.array().cast("array<string>")).alias(f"{f}_t") for f, x in read.items()])
     terms = [(i, f, fields[f]) for i, c in enumerate(query.clauses) for f in c.fields]
+    if stemming:
+        return _stem_counts(docs, list(fields), words, [(i, f) for i, f, _ in terms]), terms
+    t = docs.select("id", "url", "host", "centrality", *[F.coalesce(tokens(F.col(f)), F.array().cast("array<string>")).alias(f"{f}_t") for f in fields])
     tf = [_frequency(F.col(f"{f}_t"), words[i]).alias(f"tf_{i}_{f}") for i, f, _ in terms]
     return t.select("id", "url", "host", "centrality", *[F.size(f"{f}_t").alias(f"len_{f}") for f in fields], *tf), terms
 
 
+def _stem_counts(docs: DataFrame, fields: list[str], words: list[list[str]], terms: list[tuple[int, str]]) -> DataFrame:
+    """Lengths and frequencies of stems. Words are stemmed and counted document by document, in batches of bounded size, and
+    only counts come back; filters on them can't be pushed below, where all texts would be stemmed once more."""
+    keep = docs.select("id", "url", "host", "centrality")
+    names = [f"len_{f}" for f in fields] + [f"tf_{i}_{f}" for i, f in terms]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, texts = batch.columns[: -len(fields)], batch.columns[-len(fields) :]
+            rows = []
+            for row in zip(*texts):
+                stems = {f: [stem(w) for w in t.as_py().split(" ")] if t.is_valid and t.as_py() else [] for f, t in zip(fields, row)}
+                rows.append([len(stems[f]) for f in fields] + [_times(stems[f], words[i]) for i, f in terms])
+            counts = [pa.array([r[k] for r in rows], pa.int32()) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays(held + counts, names=[*batch.schema.names[: len(held)], *names])
+
+    bound_batches(docs.sparkSession)
+    joined = docs.select(*keep.columns, *[F.array_join(tokens(F.col(f)), " ").alias(f"{f}_t") for f in fields])
+    return joined.mapInArrow(run, StructType([*keep.schema, *[StructField(n, IntegerType()) for n in names]]))
+
+
+def _times(stems: list[str], words: list[str]) -> int:
+    """How often the words follow one another, overlaps included."""
+    if len(words) == 1:
+        return stems.count(words[0])
+    return sum(s == words[0] and stems[i : i + len(words)] == words for i, s in enumerate(stems))
+
+
 def scored(docs: DataFrame, query: Query, weight: float = 0.3, stemming: bool = False) -> DataFrame:
     """(id, url, host, score) of every document that has all clauses and is of the hosts."""
     if query.empty:
