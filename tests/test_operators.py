@@ -232,3 +232,28 @@ def test_stems_are_counted_in_one_pass_each(spark):
     # once for statistics and once for scores; a filter on them doesn't stem all texts a third time
     spark.conf.unset(key := "spark.sql.execution.arrow.maxBytesPerBatch")
     assert passes(R.scored(docs, R.parse("he"), stemming=True)) == 2 and spark.conf.get(key) is not None
+
+
+def posted(spark, rows, **k):
+    docs = spark.createDataFrame(rows, "id bigint, title string, body string")
+    return R.postings(docs, **k)
+
+
+def test_postings_are_made_without_a_shuffle(spark):
+    df = posted(spark, [(1, "A b", "b a b"), (2, None, "..."), (None, "c", "")])
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    want = {("a", "title", 1, 1, (0,)), ("b", "title", 1, 1, (1,)), ("b", "body", 1, 2, (0, 2)), ("a", "body", 1, 1, (1,)), ("c", "title", None, 1, (0,))}
+    assert {(*r[:4], tuple(r[4])) for r in df.collect()} == want
+
+
+def test_postings_of_repeated_ids_are_merged(spark):
+    df = posted(spark, [(1, "t", "a b"), (1, "t", "a a"), (None, None, "a"), (None, None, "b a"), (2, "t", "a")])
+    want = {("t", "title", 1, 2, (0, 0)), ("a", "body", 1, 3, (0, 0, 1)), ("b", "body", 1, 1, (1,)), ("a", "body", None, 2, (0, 1)), ("b", "body", None, 1, (0,)), ("t", "title", 2, 1, (0,)), ("a", "body", 2, 1, (0,))}
+    got = df.collect()
+    assert len(got) == len(want) and {(*r[:4], tuple(r[4])) for r in got} == want
+
+
+def test_postings_of_a_long_text_and_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(R, "BATCH_POSTINGS", 4)
+    df = posted(spark, [(i, "x y", " ".join(f"w{k} w" for k in range(i))) for i in range(40)])
+    assert df.count() == 80 + sum(range(40)) + 39 and df.filter("term = 'w'").agg({"tf": "sum"}).first()[0] == sum(range(40))

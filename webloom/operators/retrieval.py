@@ -8,6 +8,7 @@ back to the k ids. search_index() does the same from a postings table, of which
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -17,13 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from webloom.functions.text import lead_snippet, stem, stemmed, tokens
+from webloom.functions.text import lead_snippet, stem, tokens
 from webloom.operators.catalog import interleave
 from webloom.session import bound_batches
 
 K1, B = 1.2, 0.75
 TITLE_BOOST = 2.0
 MAX_PAGE, MAX_QUERY, MAX_PEER_HITS = 20, 512, 50
+BATCH_POSTINGS = 1 << 16
 
 
 @dataclass
@@ -155,10 +157,69 @@ def total(docs: DataFrame, text: str, stemming: bool = True) -> DataFrame:
 
 
 # The index as tables.
-def postings(docs: DataFrame, stemming: bool = False) -> DataFrame:
-    """(term, field, id, tf, positions) of every term of titles and bodies."""
-    parts = [docs.select("id", F.lit(f).alias("field"), F.posexplode(stemmed(tokens(F.col(f))) if stemming else tokens(F.col(f))).alias("pos", "term")) for f in ("title", "body")]
-    return parts[0].unionByName(parts[1]).groupBy("term", "field", "id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+def postings(docs: DataFrame, stemming: bool = False, positions: bool = True) -> DataFrame:
+    """(term, field, id, tf, positions) of every term of titles and bodies; without positions where they aren't wanted.
+
+    All words of a document are in its row, so postings are made row by row, without a shuffle. Only those of ids that more
+    than one row has are merged; to find these, ids alone are shuffled."""
+    repeated = docs.groupBy("id").count().filter("count > 1").select(F.col("id").alias("again"))
+    if not repeated.take(1):
+        return _row_postings(docs, stemming, positions)
+    same = F.col("id").eqNullSafe(F.col("again"))
+    merged = [F.sum("tf").alias("tf"), *([F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions")] if positions else [])]
+    rest = _row_postings(docs.join(repeated, same, "left_semi"), stemming, positions).groupBy("term", "field", "id").agg(*merged)
+    return _row_postings(docs.join(repeated, same, "left_anti"), stemming, positions).unionByName(rest)
+
+
+def _row_postings(docs: DataFrame, stemming: bool, positions: bool) -> DataFrame:
+    """The postings of each row by itself, in batches of about BATCH_POSTINGS."""
+    fields = ("title", "body")
+    schema = f"term string, field string, id {docs.schema['id'].dataType.simpleString()}, tf bigint" + (", positions array<int>" if positions else "")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = _Postings(positions)
+            for i in range(batch.num_rows):
+                for k, f in enumerate(fields):
+                    text = batch.column(1 + k)[i].as_py()
+                    if text:
+                        words = text.split(" ")
+                        out.add(i, f, [stem(w) for w in words] if stemming else words)
+                if len(out.terms) >= BATCH_POSTINGS:
+                    yield out.batch(batch.column(0))
+                    out = _Postings(positions)
+            yield out.batch(batch.column(0))
+
+    bound_batches(docs.sparkSession)
+    return docs.select("id", *[F.array_join(tokens(F.col(f)), " ").alias(f) for f in fields]).mapInArrow(run, schema)
+
+
+class _Postings:
+    """Postings of some rows of a batch, as columns."""
+
+    def __init__(self, positions: bool):
+        self.positions, self.terms, self.tf, self.at = positions, [], [], []
+        self.rows, self.fields = [], []
+
+    def add(self, row: int, name: str, words: list[str]) -> None:
+        if self.positions:
+            found: dict[str, list[int]] = {}
+            for i, w in enumerate(words):
+                found.setdefault(w, []).append(i)
+            self.at += found.values()
+            self.tf += map(len, found.values())
+        else:
+            found = Counter(words)
+            self.tf += found.values()
+        self.terms += found
+        self.rows += [row] * len(found)
+        self.fields += [name] * len(found)
+
+    def batch(self, ids: pa.Array) -> pa.RecordBatch:
+        made = {"term": pa.array(self.terms, pa.string()), "field": pa.array(self.fields, pa.string()), "id": ids.take(pa.array(self.rows, pa.int64())), "tf": pa.array(self.tf, pa.int64())}
+        if self.positions:
+            made["positions"] = pa.array(self.at, pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
 
 
 def lengths(docs: DataFrame) -> DataFrame:
