@@ -257,3 +257,11 @@ def test_postings_of_a_long_text_and_many_batches(spark, monkeypatch):
     monkeypatch.setattr(R, "BATCH_POSTINGS", 4)
     df = posted(spark, [(i, "x y", " ".join(f"w{k} w" for k in range(i))) for i in range(40)])
     assert df.count() == 80 + sum(range(40)) + 39 and df.filter("term = 'w'").agg({"tf": "sum"}).first()[0] == sum(range(40))
+
+
+def test_term_stats_shuffle_terms_only(spark):
+    df = R.term_stats(posted(spark, [(1, "A b", "b a b"), (2, "a", "a")], positions=False))
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {tuple(r) for r in df.collect()} == {("a", "title", 2, 2), ("b", "title", 1, 1), ("b", "body", 1, 2), ("a", "body", 2, 2)}
+    again = R.term_stats(posted(spark, [(1, "a", "a b"), (1, "a", "a")], positions=False))
+    assert {tuple(r) for r in again.collect()} == {("a", "title", 1, 2), ("a", "body", 1, 2), ("b", "body", 1, 1)}

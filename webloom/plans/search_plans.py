@@ -101,7 +101,7 @@ SEARCH = {
         SELECT term, field, id, count(*) AS tf, CAST(min(pos) AS INT) AS first FROM p GROUP BY ALL"""),
     ),
     "term_stats": (
-        lambda s, d: R.term_stats(R.postings(view(s, d, "corpus"))),
+        lambda s, d: R.term_stats(R.postings(view(s, d, "corpus"), positions=False)),
         sql(f"""WITH t AS (SELECT id, 'title' AS field, {_field("title")} AS toks FROM corpus UNION ALL SELECT id, 'body', {_field("body")} FROM corpus), p AS (SELECT id, field, unnest(toks) AS term FROM t)
         SELECT term, field, count(DISTINCT id) AS df, count(*) AS cf FROM p GROUP BY ALL"""),
     ),
